@@ -31,6 +31,10 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+#: Spark's type for each DuckDB type that a query may return.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
+
+
 def compare(spark, query, sql: str, sf_dir: str) -> str:
     """An empty string, or what differs."""
     df = query(spark, sf_dir)
@@ -40,6 +44,9 @@ def compare(spark, query, sql: str, sf_dir: str) -> str:
     theirs = rows_of(names, cur.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
+    ours_types, theirs_types = {k: v.replace("_ntz", "") for k, v in df.dtypes}, {x[0]: TYPES.get(str(x[1]), str(x[1])) for x in cur.description}
+    if ours_types != theirs_types:
+        return f"types {sorted(set(ours_types.items()) ^ set(theirs_types.items()))}"
     if ours != theirs:
         return f"{sum(ours.values())} and {sum(theirs.values())} rows; only ours {list((ours - theirs).items())[:3]}; only theirs {list((theirs - ours).items())[:3]}"
     return ""
