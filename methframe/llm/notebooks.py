@@ -12,6 +12,7 @@ _PERCENT = re.compile(r"(?m)^# %%")
 _HASH = re.compile(r"(?m)^# ?")
 _PROMPT = re.compile(r"(?m)^((?:In|Out) ?\[[^\]\n]*\]:)")
 _FENCE = re.compile(r"\s*```\w*\n(.*?)(?:```|\Z)(.*)", re.S)
+_BLANK = re.compile(r"\n[ \t]*\n")
 _DECODER = json.JSONDecoder()
 
 
@@ -50,17 +51,33 @@ def _of_percent(text: str) -> Iterator[tuple[str, str]]:
         yield ("markdown", _HASH.sub("", body)) if "markdown" in head else ("code", body)
 
 
+def _paragraphs(text: str) -> Iterator[tuple[str, str]]:
+    """The exported form keeps no borders between markdown cells but blank lines; a heading goes with what follows it."""
+    head = ""
+    for block in _BLANK.split(text):
+        if not (block := block.strip()):
+            continue
+        if block.startswith("#") and "\n" not in block:
+            head += block + "\n"
+            continue
+        yield "markdown", head + block
+        head = ""
+    if head:
+        yield "markdown", head
+
+
 def _of_export(text: str) -> Iterator[tuple[str, str]]:
     parts = _PROMPT.split(text)
-    if parts[0].strip():
-        yield "markdown", parts[0]
+    yield from _paragraphs(parts[0])
     for prompt, body in zip(parts[1::2], parts[2::2]):
-        if prompt.startswith("Out"):
-            yield "output", body
+        if prompt.startswith("Out"):  # an output ends at the first blank line
+            output, *rest = _BLANK.split(body.strip("\n"), maxsplit=1)
+            yield "output", output
+            if rest:
+                yield from _paragraphs(rest[0])
         elif m := _FENCE.match(body):
             yield "code", m.group(1)
-            if m.group(2).strip():
-                yield "markdown", m.group(2)
+            yield from _paragraphs(m.group(2))
         else:
             yield "code", body
 

@@ -34,6 +34,8 @@ SEEN = 10
 LEAST_EVIDENCE = 0.6
 #: Cells, and share of the document's cells with a subject, that make a document be about a subject.
 LEAST_CELLS, LEAST_SHARE = 0.9, 0.15
+#: Cells that a subject needs beside a stronger one: a single cell is a mention.
+LEAST_CELLS_BESIDE = 1.5
 ITERATIONS = 2
 
 _WORD = re.compile(r"[^\W\d_A-Z]{1}[^\W\d_A-Z]+|[A-Z][^\W\d_A-Z]+|[A-Z]{2,}")
@@ -79,14 +81,14 @@ def _bits(mask: Column, k: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << k)) != 0
 
 
-def _shares(total: DataFrame, keys: list[str], n: int) -> DataFrame:
+def _shares(total: DataFrame, keys: list[str], n: int, least: float) -> DataFrame:
     """keys, p0..: a cell's share of each subject from its evidence s0.. and blocks b0..: those near the strongest, squared and scaled to 1.
 
     Step by step, each step a projection of its own: written as one expression the terms would multiply.
     """
     score, block = F.array(*[F.col(f"s{k}") for k in range(n)]), F.array(*[F.col(f"b{k}") for k in range(n)])
     step = total.select(*keys, score.alias("s"), block.alias("b")).withColumn("top", F.array_max("s"))
-    kept = F.transform("s", lambda x: F.when((x >= 0.5 * F.col("top")) & (F.col("top") >= LEAST_EVIDENCE), x * x).otherwise(0.0))
+    kept = F.transform("s", lambda x: F.when((x >= 0.5 * F.col("top")) & (F.col("top") >= least), x * x).otherwise(0.0))
     step = step.withColumn("kept", kept).withColumn("whole", F.aggregate("kept", F.lit(0.0), lambda a, x: a + x))
     step = step.withColumn("p", F.zip_with("kept", "b", lambda k, b: F.when(b | (F.col("whole") <= 0), 0.0).otherwise(k / F.col("whole"))))
     return step.select(*keys, *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(n)])
@@ -98,13 +100,13 @@ class _Graph:
     def __init__(self, n: int):
         self.n, self.p = n, [f"p{k}" for k in range(n)]
 
-    def cell_shares(self, cells_: DataFrame, weights: DataFrame) -> DataFrame:
+    def cell_shares(self, cells_: DataFrame, weights: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
         """doc_id, cell, mask, p0..: ``weights`` has word, subject, weight and mark (the word cuts a cell out of the subject)."""
         use = cells_.select("doc_id", "cell", "mask", F.explode("words").alias("word")).join(weights, "word")
         sums = [F.sum(F.when(F.col("subject") == k, F.col("weight")).otherwise(0.0)).alias(f"s{k}") for k in range(self.n)]
         marks = [F.max((F.col("subject") == k) & F.col("mark")).alias(f"b{k}") for k in range(self.n)]
         total = use.groupBy("doc_id", "cell", "mask").agg(*sums, *marks)
-        return _shares(total, ["doc_id", "cell", "mask"], self.n)
+        return _shares(total, ["doc_id", "cell", "mask"], self.n, least)
 
     def clamped(self, k: int) -> Column:
         return F.when(F.col("mask").isNull() | _bits(F.col("mask"), k), F.col(self.p[k])).otherwise(0.0)
@@ -151,7 +153,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     links = checkpointed(links.where(good).select("word", "subject", "weight", F.lit(False).alias("mark")))
 
     # tooling: words of seed cells that look like a subject which the seed isn't labelled with
-    looks = g.cell_shares(taught, _sized(links))
+    # (any link is evidence enough here: what is weak on the seeds may be learned to be strong later)
+    looks = g.cell_shares(taught, _sized(links), SHARE)
     off = looks.select("cell", *[F.col(p) for p in g.p], *[F.when(_bits(F.col("mask"), k), 0.0).otherwise(F.col(p)).alias(f"o{k}") for k, p in enumerate(g.p)])
     off = checkpointed(off)
     total = off.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in off.columns if c != "cell"]).first()
@@ -187,6 +190,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     final = g.cell_shares(every, _sized(checkpointed(weights.unionByName(marks))))
     mass = final.groupBy("doc_id").agg(*[F.sum(p).alias(p) for p in g.p])
     whole = sum([F.col(p) for p in g.p[1:]], F.col(g.p[0]))
-    rows = g.long(mass.withColumn("whole", whole), ["doc_id", "whole"], {"n_cells": g.p}).where((F.col("n_cells") >= LEAST_CELLS) & (F.col("n_cells") >= LEAST_SHARE * F.col("whole")))
+    mass = mass.withColumn("whole", whole).withColumn("most", F.greatest(*[F.col(p) for p in g.p], F.lit(0.0), F.lit(0.0)))
+    enough = F.when(F.col("n_cells") < F.col("most"), LEAST_CELLS_BESIDE).otherwise(LEAST_CELLS)
+    rows = g.long(mass, ["doc_id", "whole", "most"], {"n_cells": g.p}).where((F.col("n_cells") >= enough) & (F.col("n_cells") >= LEAST_SHARE * F.col("whole")))
     subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("subject") + 1)
     return rows.select("doc_id", subject.alias("subject"), "n_cells")
