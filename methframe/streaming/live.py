@@ -19,13 +19,13 @@ def live_pseudobulk(sites: DataFrame) -> DataFrame:
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums per type and tumbling window; events later than ``late`` are dropped, and windows close by the watermark."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("since"), "event_type", "n", "total")
 
 
 def distinct_records(records: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
     """The first arrival of each record within the watermark."""
-    return records.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+    return records.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
 def live_intervals(intervals: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
