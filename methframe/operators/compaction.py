@@ -1,6 +1,6 @@
 """Consolidation of very many small files into few well-sized ones.
 
-Every small file is a sorted run, or is made one. Sampled quantiles of (cell, chrom, pos, file) cut the key space into
+Every small file is a sorted run, or is made one. Sampled quantiles of (cell, chrom, pos, file, record) cut the key space into
 ranges; runs are sliced at the cuts, the slices of a range go to one task as whole arrays, and the task merges them
 with a heap that holds only the runs that overlap at the current key. Copies of a record meet there, except those of
 a site that a cut splits because it is too hot for one range; such sites are stitched afterwards.
@@ -12,7 +12,6 @@ import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +50,7 @@ def runs_of(files: DataFrame) -> DataFrame:
 
 
 def cut_points(runs: DataFrame, ranges: int) -> list[tuple]:
-    """Quantiles of the records' keys, from a sample of at most about 2 x SAMPLES_PER_RANGE x ranges keys.
+    """Quantiles of the records' keys (cell, chrom, pos, file_id, rec_no), from a sample of at most about 2 x SAMPLES_PER_RANGE x ranges keys.
 
     The sample only places the cuts: any cuts give the same result.
     """
@@ -59,11 +58,13 @@ def cut_points(runs: DataFrame, ranges: int) -> list[tuple]:
     if ranges < 2 or not records:
         return []
     share = min(1.0, SAMPLES_PER_RANGE * ranges / records)
-    wanted = F.col("n") * share  # one key of a run, with the chance that the run holds a sampled record, weighted for more
+    # a run gives as many keys as its share of the sample, a small one one key with that chance: a huge run is cut in many places
+    wanted = F.col("n") * share
     lucky = F.pmod(F.xxhash64(F.lit(5), "file_id"), F.lit(1 << 20)) / float(1 << 20)
-    place = F.pmod(F.xxhash64(F.lit(6), "file_id"), F.col("n")).cast("int")
-    sample = runs.where(lucky < wanted).select("cell", "chrom", F.get("pos", place).alias("pos"), "file_id", F.greatest(F.ceil(wanted), F.lit(1)).alias("w"))
-    keys = sorted((*_site(r.cell, r.chrom, r.pos), _rank(r.file_id)) for r in sample.toLocalIterator() for _ in range(r.w))
+    picked = runs.where(lucky < wanted).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(wanted), F.lit(1)).cast("int"))))
+    place = F.pmod(F.xxhash64(F.lit(6), "file_id", "i"), F.col("n")).cast("int")
+    sample = picked.select("cell", "chrom", F.get("pos", place).alias("pos"), "file_id", (place + 1).alias("rec_no"))
+    keys = sorted((*_site(r.cell, r.chrom, r.pos), _rank(r.file_id), r.rec_no) for r in sample.toLocalIterator())
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
@@ -83,13 +84,13 @@ def _slices(runs: DataFrame, cuts: list[tuple]) -> DataFrame:
                 if any(a > b for a, b in zip(ranks, ranks[1:])):
                     order = sorted(range(n), key=ranks.__getitem__)  # stable: rec_no rises among equal positions
                     pos, mc, cov, number, ranks = ([x[i] for i in order] for x in (pos, mc, cov, number, ranks))
-                head, tail = (_rank(cell), _rank(chrom)), (_rank(file_id),)
+                head, file_rank = (_rank(cell), _rank(chrom)), _rank(file_id)
                 at = 0
                 while at < n:
-                    part = bisect_right(cuts, (*head, ranks[at], *tail))
+                    part = bisect_right(cuts, (*head, ranks[at], file_rank, number[at]))
                     end = n
-                    if part < len(cuts) and (*head, ranks[-1], *tail) >= cuts[part]:
-                        end = bisect_left(range(n), True, lo=at, key=lambda i: (*head, ranks[i], *tail) >= cuts[part])
+                    if part < len(cuts) and (*head, ranks[-1], file_rank, number[-1]) >= cuts[part]:
+                        end = bisect_left(range(n), True, lo=at, key=lambda i: (*head, ranks[i], file_rank, number[i]) >= cuts[part])
                     for column, value in zip(out, (part, cell, chrom, file_id, pos[at], pos[at:end], mc[at:end], cov[at:end], number[at:end])):
                         column.append(value)
                     at = end

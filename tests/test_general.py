@@ -180,6 +180,14 @@ def test_copies(spark, seed, ranges):
     assert compaction.kept(records).count() == distinct
 
 
+def test_one_file_and_one_record_hold_most(spark):
+    files = [(0, "c", "x", [5] * 3000 + list(range(6, 3006)), [1] * 6000, [2] * 6000, "")] + [(i, "c", "x", [5] * 10, [1] * 10, [2] * 10, "") for i in range(1, 200)]
+    records = compaction.merged_records(spark.createDataFrame(files, FILES), 12)
+    assert sorted(tuple(r) for r in compaction.copies(records).collect()) == plain_copies(files)[0]
+    sizes = [r["count"] for r in records.groupBy("part").count().collect()]
+    assert sum(sizes) == 6000 + 1990 and max(sizes) < 2 * sum(sizes) / 12
+
+
 def test_no_files(spark):
     none = spark.createDataFrame([], FILES)
     records = compaction.merged_records(none, 4)
