@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methframe.functions.stats import fisher_two_sided
-from methframe.operators.intervals import islands
+from methframe.operators.intervals import number_stretches
 from methframe.operators.merge import bin_sums
+from methframe.operators.ranged import part_id, ranged
+from methframe.session import checkpointed
 
 #: The defaults of both callers.
 CG = {"p": 1e-3, "delta": 0.2, "min_cov": 1, "min_samples": 1, "max_dist": 250, "min_dms": 1, "permutations": 3000, "min_p": 0.01, "max_row": 50, "max_total": 3000}
@@ -176,19 +180,38 @@ def call_one_vs_rest(sites: DataFrame, by: str, **options: float) -> DataFrame:
 def bh_fdr(df: DataFrame, p: str, by: list[str], name: str = "q") -> DataFrame:
     """``df`` with the Benjamini-Hochberg q of ``p`` within ``by`` (null is a group); a null or NaN p has a null q and doesn't count.
 
-    Counts, not windows: each distinct p needs only the number of values up to it, so ties and hot groups are combined before the shuffle.
+    Distinct values with their counts go to range partitions on (by, p); ranks need the counts of earlier partitions and the running minimum from
+    above those of later ones, both stitched from one state per group and partition. So a group with a third of all rows is no single task.
     """
-    value = F.when(F.isnan(F.col(p).cast("double")), None).otherwise(F.col(p))
-    each = df.select(*by, value.alias("_p")).where("_p is not null").groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("_rank", F.sum("_n").over(up)).withColumn("_m", F.sum("_n").over(Window.partitionBy(*by)))
-    down = Window.partitionBy(*by).orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
-    each = each.withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(down))))
-    table = each.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_p").alias("_bp"), name)
-    on = F.col(p) == F.col("_bp")
-    for i, c in enumerate(by):
-        on &= F.col(c).eqNullSafe(F.col(f"_b{i}"))
-    return df.join(table, on, "left").drop(*[f"_b{i}" for i in range(len(by))], "_bp")
+    value = F.when(F.isnan(F.col(p).cast("double")), None).otherwise(F.col(p)).cast("double")
+    code = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])) if by else F.lit("{}")
+    coded = df.withColumn("_g", code).withColumn("_p", value)
+    each = coded.where("_p is not null").groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    local = checkpointed(ranged(each, ["_g"], "_p").mapInPandas(_local_ranks, "_g string, _p double, rank bigint, part int"))
+    state = local.groupBy("_g", "part").agg(F.max("rank").alias("n"))
+    order = Window.partitionBy("_g").orderBy("part")
+    state = state.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("m", F.sum("n").over(Window.partitionBy("_g")))
+    scaled = local.join(state.select("_g", "part", "base", "m"), ["_g", "part"]).withColumn("v", F.col("_p") * F.col("m") / (F.col("base") + F.col("rank")))
+    lowest = scaled.groupBy("_g", "part").agg(F.min("v").alias("low"))
+    lowest = lowest.select("_g", "part", F.min("low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    # the minimum from above within a partition: values in blocks of equal rank order, never more than a partition's rows
+    inner = Window.partitionBy("_g", "part").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    q = scaled.withColumn("v", F.min("v").over(inner)).join(lowest, ["_g", "part"])
+    q = q.select("_g", "_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least("v", "later"))).alias(name))
+    return coded.join(q, ["_g", "_p"], "left").drop("_g", "_p")
+
+
+def _local_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts up to and with each value of a group within the partition, whose rows come in order."""
+    part, last, seen = part_id(), None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        rank = b.groupby("_g", sort=False)["_n"].cumsum()
+        first = b["_g"] == b["_g"].iloc[0]
+        rank = rank + np.where(first, seen if b["_g"].iloc[0] == last else 0, 0)
+        last, seen = b["_g"].iloc[-1], int(rank.iloc[-1])
+        yield pd.DataFrame({"_g": b["_g"], "_p": b["_p"], "rank": rank.astype("int64"), "part": part})
 
 
 def merged_results(calls: DataFrame) -> DataFrame:
@@ -206,13 +229,13 @@ def consensus(calls: DataFrame, slop: int = 0, min_samples: int = 1, by_directio
     """
     by = ["chrom", *(["direction"] if by_direction else [])]
     clean = calls.where("chrom is not null and start_pos is not null and end_pos > start_pos").withColumn("direction", F.when(F.col("frac_delta_mean") < 0, "hypo").otherwise("hyper"))
-    merged = islands(clean, by, F.greatest(F.col("start_pos") - slop, F.lit(0)), F.col("end_pos") + slop)
+    merged = number_stretches(clean, by, F.greatest(F.col("start_pos") - slop, F.lit(0)), F.col("end_pos") + slop)
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = merged.groupBy(*by, "island").agg(
+    out = merged.groupBy(*by, "stretch_start").agg(
         F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_regions"), F.countDistinct("sname").alias("n_samples"), F.countDistinct("cell_class").alias("n_classes"),
         names("sname").alias("snames"), names("cell_class").alias("classes"), F.round(F.avg("frac_delta_mean"), 6).alias("mean_delta"), F.min("p_min").alias("p_min"),
     )
-    return out.where(F.col("n_samples") >= min_samples).drop("island")
+    return out.where(F.col("n_samples") >= min_samples).drop("stretch_start")
 
 
 def annotate(matrix: DataFrame, keys: list[str], samples: list[str], cutoff: float = 0.0) -> DataFrame:

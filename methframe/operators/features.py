@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methframe.functions.numbers import fraction
 from methframe.functions.stats import binomial_tail
-from methframe.operators.intervals import islands
+from methframe.operators.intervals import stretches_and_gaps
 from methframe.operators.region import overlaps_any, sites_in_regions
 
 #: Fixed value: keeps the rate of a cell without coverage at 0.
@@ -51,8 +51,8 @@ def genome_bins(chroms: DataFrame, size: int, exclude: list[str] | None = None)
 
 
 def merge_blacklist(regions: DataFrame) -> DataFrame:
-    """Stretches of overlapping or touching regions."""
-    return islands(regions, ["chrom"], "start_pos", "end_pos").groupBy("chrom", "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("island")
+    """Stretches of overlapping or touching regions; regions with null or empty bounds drop out."""
+    return stretches_and_gaps(regions, ["chrom"], "start_pos", "end_pos").where("kind = 'merged'").drop("kind")
 
 
 def mask(features: DataFrame, blacklist: DataFrame, touching: bool = False) -> DataFrame:

@@ -136,14 +136,21 @@ def stretches_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, p
     return whole.select(*entity, F.explode(found).alias("f")).select("f.kind", *entity, f"f.{start}", f"f.{end}").where(F.col(end).isNotNull())
 
 
-def islands(df: DataFrame, entity: list[str], start: str | Column, end: str | Column, touching: bool = True) -> DataFrame:
-    """``df`` with ``island``: the number of the stretch each interval belongs to, in its entity, from 0.
+def number_stretches(df: DataFrame, entity: list[str], start: Column, end: Column, partitions: int | None = None) -> DataFrame:
+    """Rows of ``df`` with a valid interval, with the bounds (stretch_start, stretch_end) of the stretch of their entity they lie in.
 
-    The plain window form, for entities that fit a task each (features, called regions); rows with null bounds
-    come first and form no stretch of their own.
+    Stretches come from range partitions, and each interval finds its own by an equi-join on
+    (entity, bin) with the range as a residue, so no task holds an entity. Rows with null entities or bounds, or an end not above the start, are left out.
     """
-    s, e = (F.col(x) if isinstance(x, str) else x for x in (start, end))
-    order = Window.partitionBy(*entity).orderBy(s, e)
-    reach = F.max(e).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (s > reach) if touching else (s >= reach)
-    return df.withColumn("_new", F.when(reach.isNull() | apart, 1).otherwise(0)).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+    from methframe.operators.region import sites_in_regions
+
+    rows = df.withColumn("_from", start.cast("bigint")).withColumn("_to", end.cast("bigint")).where("_from < _to").dropna(subset=entity)
+    found = stretches_and_gaps(rows, entity, "_from", "_to", partitions).where("kind = 'merged'")
+    # one text key, with lengths in front so that different entities can't spell the same
+    key = F.concat_ws("|", *[F.concat_ws(":", F.length(F.col(c).cast("string")), F.col(c).cast("string")) for c in entity])
+    spans = checkpointed(found.select(key.alias("chrom"), F.col("_from").alias("stretch_start"), (F.col("_to") - 1).alias("stretch_last")))
+    points = rows.withColumnsRenamed({c: f"_own_{c}" for c in ("chrom", "pos") if c in rows.columns})
+    key = F.concat_ws("|", *[F.concat_ws(":", F.length(F.col(n).cast("string")), F.col(n).cast("string")) for n in (f"_own_{c}" if c in ("chrom", "pos") and c in rows.columns else c for c in entity)])
+    joined = sites_in_regions(points.withColumn("chrom", key).withColumn("pos", F.col("_from")), spans, "stretch_start", "stretch_last")
+    joined = joined.drop("chrom", "pos", "_from", "_to").withColumn("stretch_end", F.col("stretch_last") + 1).drop("stretch_last")
+    return joined.withColumnsRenamed({f"_own_{c}": c for c in ("chrom", "pos")})

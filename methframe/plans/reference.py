@@ -513,7 +513,8 @@ def combp_split(spark, d):
 select sname, chrom, count(*) as n_intervals, cast(sum(case when reach is null or start_pos > reach then 1 else 0 end) as bigint) as n_stretches from c group by all""")
 def interval_islands(spark, d):
     rows = v.calls(spark, d).where("sname is not null and chrom is not null and start_pos is not null and end_pos > start_pos")
-    return intervals.islands(rows, ["sname", "chrom"], "start_pos", "end_pos").groupBy("sname", "chrom").agg(F.count(F.lit(1)).alias("n_intervals"), (F.max("island") + 1).alias("n_stretches"))
+    found = intervals.number_stretches(rows, ["sname", "chrom"], F.col("start_pos"), F.col("end_pos"))
+    return found.groupBy("sname", "chrom").agg(F.count(F.lit(1)).alias("n_intervals"), F.countDistinct("stretch_start").alias("n_stretches"))
 
 
 # events
