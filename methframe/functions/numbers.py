@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,15 @@ def dequantize(level: Column, bits: int, low: float, high: float) -> Column:
     return level / ((1 << bits) - 1) * (high - low) + low
 
 
+def quantization(message: str | None) -> dict[str, tuple[str, float, float]]:
+    """Storage code and bounds of each quantised column, from a table's message; empty where it tells none."""
+    try:
+        told = json.loads(message or "")["quant"]
+        return {c: (str(code), float(low), float(high)) for c, (code, low, high) in told.items()}
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return {}
+
+
 def context_is(context: Column, strand: Column, pattern: str) -> Column:
     """Whether a site matches a pattern such as ``CGN``, ``+CGN``, ``-CHN`` or any other of IUPAC letters."""
     sign, letters = (pattern[0], pattern[1:]) if pattern[:1] in "+-" else ("", pattern)

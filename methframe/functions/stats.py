@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,18 +18,23 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < _SMALL, F.get(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_SMALL)]), n.cast("int"))).otherwise(series)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not again at each step of a loop that refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """The two-sided p of the table ((a, b), (c, d)): all tables with the same margins that are no likelier than this one."""
     row, col, n = a + b, a + c, a + b + c + d
     fixed = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col) - log_factorial(n)
+    free = lambda x: log_factorial(x) + log_factorial(row - x) + log_factorial(col - x) + log_factorial(n - row - col + x)
+    low, high = F.greatest(F.lit(0), row + col - n).cast("bigint"), F.least(row, col).cast("bigint")
 
-    def log_p(x: Column) -> Column:
-        return fixed - log_factorial(x) - log_factorial(row - x) - log_factorial(col - x) - log_factorial(n - row - col + x)
+    def total(k: Column) -> Column:
+        each = F.transform(F.sequence(low, high), lambda x: k["fixed"] - free(x))
+        return F.aggregate(each, F.lit(0.0), lambda s, y: s + F.when(y <= k["fixed"] - k["free"] + 1e-7, F.exp(y)).otherwise(0.0))
 
-    seen = F.struct(log_p(a).alias("p"), F.lit(0).alias("_"))
-    low, high = F.greatest(F.lit(0), row + col - n).cast("bigint"), F.least(row, col).cast("bigint")
-    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, x: s + F.when(log_p(x) <= seen["p"] + 1e-7, F.exp(log_p(x))).otherwise(0.0))
-    return F.least(total, F.lit(1.0))
+    return F.least(_let(F.struct(fixed.alias("fixed"), free(a).alias("free")), total), F.lit(1.0))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -38,10 +44,9 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def binomial_tail(mc: Column, cov: Column, p: Column) -> Column:
     """P(X > mc) for X ~ Bin(cov, p) with 0 < p < 1; 0 where mc reaches cov."""
-    base, hit, miss = log_factorial(cov), F.log(p), F.log(1 - p)
-
-    def term(x: Column) -> Column:
-        return F.exp(base - log_factorial(x) - log_factorial(cov - x) + x * hit + (cov - x) * miss)
+    def total(k: Column) -> Column:
+        term = lambda x: F.exp(k["base"] - log_factorial(x) - log_factorial(cov - x) + x * k["hit"] + (cov - x) * k["miss"])
+        return F.aggregate(F.sequence((mc + 1).cast("bigint"), F.greatest(cov, mc + 1).cast("bigint")), F.lit(0.0), lambda s, x: s + term(x))
 
-    some = F.aggregate(F.sequence((mc + 1).cast("bigint"), F.greatest(cov, mc + 1).cast("bigint")), F.lit(0.0), lambda s, x: s + term(x))
+    some = _let(F.struct(log_factorial(cov).alias("base"), F.log(p).alias("hit"), F.log(1 - p).alias("miss")), total)
     return F.when(mc >= cov, 0.0).otherwise(F.least(some, F.lit(1.0)))

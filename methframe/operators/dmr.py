@@ -248,6 +248,13 @@ def annotate(matrix: DataFrame, keys: list[str], samples: list[str], cutoff: flo
     return out.withColumn("delta_beta", F.col("max_value") - F.col("min_value")).where(F.col("delta_beta") >= cutoff)
 
 
+def annotate_regions(matrix: DataFrame, calls: DataFrame, samples: list[str], cutoff: float = 0.0) -> DataFrame:
+    """``annotate`` for regions (chrom, start_pos, end_pos), with n_dms and the sorted list of the samples that called them; null where none did."""
+    keys = ["chrom", "start_pos", "end_pos"]
+    told = calls.groupBy(*keys).agg(F.max("n_dms").alias("n_dms"), F.array_join(F.array_sort(F.collect_set("sname")), ",").alias("snames"))
+    return annotate(matrix, keys, samples, cutoff).join(told, keys, "left")
+
+
 def pseudo_reads(sites: DataFrame, signal: Column, half: int) -> DataFrame:
     """chrom, start_pos, end_pos: ``signal`` reads around each site, [max(0, pos - half), pos + half), as input for a peak caller."""
     rows = sites.withColumn("_n", signal.cast("int")).where("_n > 0")

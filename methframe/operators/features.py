@@ -104,3 +104,16 @@ def posterior(cells: DataFrame) -> DataFrame:
     """(mc + alpha) / (cov + alpha + beta) / prior of each cell and feature."""
     value = (F.col("mc") + F.col("alpha")) / (F.col("cov") + F.col("alpha") + F.col("beta")) / F.col("prior")
     return cells.join(beta_params(cells), "cell_id").select("cell_id", "name", value.alias("posterior"))
+
+
+def cell_by_feature(sites: DataFrame, features: DataFrame, kind: str = "frac", blacklist: DataFrame | None = None, flank: int = 0, obs: DataFrame | None = None, cutoff: float = 0.0) -> DataFrame:
+    """The matrix end to end: features widened by ``flank``, without blacklisted ones, summed per cell, scored, and joined with the cells' columns ``obs`` (by cell_id).
+
+    cell_id, name, mc, cov, score and the columns of obs; cells that obs lacks have nulls there.
+    """
+    wanted = features.withColumn("start_pos", F.greatest(F.col("start_pos") - flank, F.lit(0))).withColumn("end_pos", F.col("end_pos") + flank)
+    if blacklist is not None:
+        wanted = mask(wanted, blacklist)
+    counts = matrix(sites, wanted)
+    out = counts.join(score(counts, kind, cutoff), ["cell_id", "name"])
+    return out.join(obs, "cell_id", "left") if obs is not None else out

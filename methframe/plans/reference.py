@@ -328,6 +328,16 @@ def posterior_frac(spark, d):
     return features.posterior(_matrix(spark, d)).select("cell_id", "name", F.round("posterior", 6).alias("posterior"))
 
 
+@query("""
+, wide0 as (select chrom, greatest(start_pos - 50, 0) as start_pos, end_pos + 50 as end_pos, name from regions),
+kept as (select * from wide0 g where not exists (select 1 from blacklist b where b.chrom = g.chrom and g.start_pos < b.end_pos and b.start_pos < g.end_pos)),
+m as (select cell_id, g.name, cast(sum(mc) as bigint) as mc, cast(sum(cov) as bigint) as cov from sites s join kept g on s.chrom = g.chrom and s.pos > g.start_pos and s.pos <= g.end_pos group by all having sum(cov) > 0)
+select m.*, round(mc / cov, 6) as score, sname, cell_class from m left join cells using (cell_id)""")
+def cell_by_feature(spark, d):
+    out = features.cell_by_feature(v.sites(spark, d), v.regions(spark, d), "frac", v.blacklist(spark, d), 50, v.cells(spark, d))
+    return out.withColumn("score", F.round("score", 6))
+
+
 # values
 
 
@@ -497,6 +507,20 @@ def annot_dmr(spark, d):
     return out.withColumn("delta_beta", F.round("delta_beta", 6))
 
 
+_REGION_MATRIX = ", ".join(f"max(case when cell_class = '{c}' then f end) as {c}" for c in CLASSES)
+
+
+@query(f""", cm as (select g.chrom, g.start_pos, g.end_pos, cell_class, round(sum(mc) / sum(cov), 6) as f from sites s join cells using (cell_id) join regions g on s.chrom = g.chrom and s.pos > g.start_pos and s.pos <= g.end_pos where cell_class is not null group by all having sum(cov) > 0),
+w as (select chrom, start_pos, end_pos, {_REGION_MATRIX} from cm group by all), l as (select chrom, start_pos, end_pos, unnest([{', '.join(CLASSES)}]) as x, unnest({CLASSES}) as s, unnest(range({len(CLASSES)})) as i from w),
+a as (select chrom, start_pos, end_pos, first(s order by x, i) as hypo_sample, first(s order by x desc, i) as hyper_sample, min(x) as min_value, max(x) as max_value, round(max(x) - min(x), 6) as delta_beta from l where x is not null group by all having max(x) - min(x) >= 0.1)
+select a.*, n_dms, snames from a left join (select chrom, start_pos, end_pos, max(n_dms) as n_dms, coalesce(string_agg(distinct sname, ',' order by sname), '') as snames from dmr_calls group by all) using (chrom, start_pos, end_pos)""")
+def annot_regions(spark, d):
+    g = v.regions(spark, d)
+    rows = _class_sites(spark, d).drop("cell_id").withColumnRenamed("cell_class", "cell_id")
+    frac = features.score(features.matrix(rows, g), "frac").join(g, "name").groupBy("chrom", "start_pos", "end_pos").pivot("cell_id", CLASSES).agg(F.round(F.first("score"), 6))
+    return dmr.annotate_regions(frac, v.calls(spark, d), CLASSES, 0.1).withColumn("delta_beta", F.round("delta_beta", 6))
+
+
 @query("select chrom, greatest(pos - 50, 0) as start_pos, pos + 50 as end_pos, count(*) as n_reads from (select chrom, pos, unnest(range(cov - mc)) as k from bulk where cov > mc) group by all")
 def pseudo_reads(spark, d):
     return dmr.pseudo_reads(_bulk(spark, d), F.col("cov") - F.col("mc"), 50).groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("n_reads"))

@@ -19,7 +19,7 @@ CIGAR, LETTERS, DROPPED = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", 4 | 256 | 512 | 1024
 PAIRED, PROPER, REVERSE = 1, 2, 16
 MIN_MAPQ, MIN_BASE_QUALITY = 10, 20
 
-READ = "file string, name string, flag int, chrom string, start int, mapq int, ref_pos array<int>, bases string, quality array<int>"
+READ = "file string, name string, flag int, chrom string, start int, mapq int, ref_pos array<int>, bases string, quality array<int>, converted boolean"
 
 
 def inflate(data: bytes) -> bytes:
@@ -34,6 +34,29 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Bytes of each fixed-size tag type.
+_TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
+
+
+def conversion(data: bytes, at: int, end: int) -> bool | None:
+    """Whether a read is of the C-to-T conversion, by its tag YZ (+) or else XG (CT); None without either."""
+    found: dict[bytes, str] = {}
+    while at + 3 <= end:
+        tag, kind = data[at : at + 2], chr(data[at + 2])
+        at += 3
+        if kind in "ZH":
+            stop = data.index(b"\0", at)
+            found[tag] = data[at:stop].decode("ascii", "replace")
+            at = stop + 1
+        elif kind == "B":
+            at += 5 + _TAG_BYTES[chr(data[at])] * struct.unpack_from("<I", data, at + 1)[0]
+        else:
+            if kind == "A":
+                found[tag] = chr(data[at])
+            at += _TAG_BYTES[kind]
+    return found[b"YZ"] == "+" if b"YZ" in found else found[b"XG"] == "CT" if b"XG" in found else None
+
+
 def records(data: bytes) -> Iterator[tuple]:
     """name, flag, chrom, start (0-based), mapq, and the aligned bases with their reference positions (1-based) and qualities."""
     if data[:4] != b"BAM\1":
@@ -63,7 +86,7 @@ def records(data: bytes) -> Iterator[tuple]:
                 which += range(read, read + k)
             here += k if kind in "MDN=X" else 0
             read += k if kind in "MIS=X" else 0
-        yield name, flag, names[ref] if ref >= 0 else None, start, mapq, where, "".join(LETTERS[c] for c in codes[which]), quality[which].tolist()
+        yield name, flag, names[ref] if ref >= 0 else None, start, mapq, where, "".join(LETTERS[c] for c in codes[which]), quality[which].tolist(), conversion(data, p + n_seq, at + 4 + size)
         at += 4 + size
 
 
@@ -71,7 +94,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """One row per aligned read. Files go through Spark's own file systems, one task a file: meant for per-cell files, which are small."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32())]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.bool_()]
         schema = pa.schema(list(zip([f.split()[0] for f in READ.split(", ")], kinds)))
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -91,14 +114,17 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, READ)
 
 
-def count_sites(reads: DataFrame, genome: DataFrame, min_mapq: int = MIN_MAPQ, min_quality: int = MIN_BASE_QUALITY, by: list[str] | None = None) -> DataFrame:
+def count_sites(reads: DataFrame, genome: DataFrame, min_mapq: int = MIN_MAPQ, min_quality: int = MIN_BASE_QUALITY, by: list[str] | None = None, by_conversion: bool = False) -> DataFrame:
     """chrom, pos, strand, context, mc, cov (and ``by``, such as file): at a C, forward reads with C are methylated and with T converted; at a
-    G, backward reads with G and A. A base that both mates of a pair cover counts once, with the better quality."""
+    G, backward reads with G and A. A base that both mates of a pair cover counts once, with the better quality.
+    ``by_conversion``: a read's direction is that of its conversion tag, as for libraries whose mates point both ways; reads without the tag keep theirs."""
     by = by or []
     flag = lambda bits: F.col("flag").bitwiseAND(F.lit(bits))
     good = reads.where((flag(DROPPED) == 0) & (F.col("mapq") >= min_mapq) & ((flag(PAIRED) == 0) | (flag(PROPER) != 0)))
+    own = F.when(flag(REVERSE) != 0, "-").otherwise("+")
+    strand = F.when(F.col("converted"), "+").when(~F.col("converted"), "-").otherwise(own) if by_conversion else own
     each = good.withColumn("b", F.explode(F.arrays_zip("ref_pos", F.split("bases", "").alias("base"), "quality")))
-    each = each.select(*by, "name", "chrom", F.col("b.ref_pos").cast("bigint").alias("pos"), F.when(flag(REVERSE) != 0, "-").otherwise("+").alias("strand"), F.col("b.base").alias("base"), F.col("b.quality").alias("quality"))
+    each = each.select(*by, "name", "chrom", F.col("b.ref_pos").cast("bigint").alias("pos"), strand.alias("strand"), F.col("b.base").alias("base"), F.col("b.quality").alias("quality"))
     each = each.where(F.col("quality") >= min_quality)
     plus = F.col("strand") == "+"
     each = each.where((plus & F.col("base").isin("C", "T")) | (~plus & F.col("base").isin("G", "A")))

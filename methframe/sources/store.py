@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methframe.functions.numbers import TYPES, clamp
+from methframe.functions.numbers import TYPES, clamp, dequantize, quantization
 
 MESSAGE = "message"
 
@@ -61,3 +61,11 @@ def ordered(df: DataFrame, chroms: list[str]) -> DataFrame:
     """Rows of the listed chromosomes in the list's order, then by position."""
     place = F.array_position(F.array(*[F.lit(c) for c in chroms]), F.col("chrom"))
     return df.where(F.col("chrom").isin(chroms)).orderBy(place, "pos")
+
+
+def read_dequantized(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the columns that its message names as quantised back in their own scale."""
+    df = read(spark, path)
+    for c, (code, low, high) in quantization(header(spark, path).get("message")).items():
+        df = df.withColumn(c, dequantize(F.col(c), 8 if code == "B" else 16, low, high))
+    return df

@@ -212,6 +212,15 @@ def test_annotation_ties(spark):
 # text and stores
 
 
+def test_quantized_table(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1, 0.25), ("x", 2, 1.0)], "chrom string, pos bigint, beta double")
+    path, message = str(tmp_path / "q"), '{"quant": {"beta": ["B", 0, 1]}}'
+    store.write(df.withColumn("beta", numbers.quantize(F.col("beta"), 8, 0.0, 1.0)), path, message=message)
+    assert [round(r.beta, 2) for r in store.read_dequantized(spark, path).orderBy("pos").collect()] == [0.25, 1.0]
+    assert numbers.quantization(message) == {"beta": ("B", 0.0, 1.0)}
+    assert all(numbers.quantization(m) == {} for m in (None, "", "mm10", "[]", '{"quant": 3}', '{"quant": {"b": [1]}}'))
+
+
 def test_cytosines(spark):
     seq = "CGnacgtcCX" * 3
     got = {(r.chrom, r.pos): (r.strand, r.context) for r in text.cytosines(spark.createDataFrame([("a", seq), ("b", ""), ("c", None), ("d", "G")], "chrom string, seq string")).collect()}
@@ -270,6 +279,9 @@ def test_store(spark, tmp_path):
 # alignments
 
 
+TAGS = {"a": b"NMC\x01XGZGA\0", "b": b"ZBBs\x02\0\0\0\1\0\2\0YZA+"}
+
+
 def bam_bytes(reads):
     head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
     body = b""
@@ -277,7 +289,7 @@ def bam_bytes(reads):
         ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar)
         codes = ["=ACMGRSVTWYHKDBN".index(b) for b in seq] + [0] * (len(seq) % 2)
         packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-        rec = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops + packed + bytes(qual)
+        rec = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops + packed + bytes(qual) + TAGS.get(name, b"")
         body += struct.pack("<i", len(rec)) + rec
     out = b""
     data = head + body
@@ -300,6 +312,9 @@ def test_bam(spark, tmp_path):
     aligned = bam.read_bam(spark, str(tmp_path / "*.bam"))
     assert aligned.count() == 7
     got = {(r.pos, r.strand): (r.mc, r["cov"], r.context) for r in bam.count_sites(aligned, genome).collect()}
+    assert {r.name: r.converted for r in aligned.collect() if r.name in "abc"} == {"a": False, "b": True, "c": None}
+    turned = {(r.pos, r.strand): (r.mc, r["cov"]) for r in bam.count_sites(aligned, genome, by_conversion=True).collect()}
+    assert turned[2, "+"] == (0, 1) and turned[3, "-"] == (1, 2)  # a now tells of the G at 3, no longer of the C at 2
     # C at 2, 5, 6 on forward reads a, b, del; G at 3, 7 on the backward read c
     assert got == {(2, "+"): (1, 2, "CGT"), (5, "+"): (2, 3, "CCG"), (6, "+"): (3, 3, "CGA"), (3, "-"): (0, 1, "CGT"), (7, "-"): (1, 1, "CGG")}
 
