@@ -67,7 +67,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, k
     ``total_tokens`` if that is less. Complete epochs come first; the fraction that is left goes to documents in the order of
     their exponential keys until the nearest document boundary. Documents of other sources, or without one, aren't used. Documents
     without tokens are used in every epoch. A target without documents can't be met: it is reported with share 0. Shares are of all
-    tokens in the mixture. Empty tables give an empty mixture.
+    tokens in the mixture. The keys come from the columns
+    ``keep``, so the choice doesn't depend on how the rows are laid out. Empty tables give an empty mixture.
     """
     spark = sizes.sparkSession
     wanted = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
@@ -76,7 +77,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, k
     names = spark.createDataFrame([(i, r.source) for i, r in enumerate(wanted)], "target_no int, source string")
     weight = quality(F.col("n_text"), F.col("n_tokens"))
     rows = sizes.withColumn("source", source_name(F.col("source"))).join(F.broadcast(names), "source")
-    rows = rows.select("target_no", "source", "row_id", "n_tokens", exponential_key(weight, *keep, "row_id").alias("key"), *keep)
+    rows = rows.select("target_no", "source", "row_id", "n_tokens", exponential_key(weight, *keep).alias("key"), *keep)
     there = {r.target_no: r.n for r in rows.groupBy("target_no").agg(F.sum("n_tokens").alias("n")).collect()}
     feasible = [r.most * there[i] / r.share for i, r in enumerate(wanted) if there.get(i)]
     total = int(min([*feasible, *([total_tokens] if total_tokens is not None else [])])) if feasible else 0
