@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methframe.llm.notebooks import cells
+from methframe.llm.tokens import spread
 from methframe.session import checkpointed
 
 #: Trusted seeds used at most; beyond it, those of the smallest hash.
@@ -58,7 +59,8 @@ def words_of_cells(documents: DataFrame) -> DataFrame:
                             words.append(list(found))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "row", "n", "words"])
 
-    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), "nb_format", "text").where("doc_id is not null and text <> ''")
+    rows = spread(documents.select("doc_id", "nb_format", "text").where("doc_id is not null and text <> ''"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "nb_format", "text")
     found = rows.mapInArrow(read, "doc_id bigint, row bigint, n int, words array<string>")
     return found.select("doc_id", F.xxhash64("row", "n").alias("cell"), "words")
 

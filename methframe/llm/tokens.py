@@ -29,6 +29,12 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on every core, where its files give fewer partitions than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def token_sizes(documents: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """row_id (unique), the columns ``keep``, n_tokens and n_text (characters) of every row; texts are read whole.
 
@@ -49,5 +55,5 @@ def token_sizes(documents: DataFrame, keep: list[str], text: str = "text", vocab
                     chars.append(len(t) if t else 0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, pa.int64()), pa.array(chars, pa.int64())], [*b.schema.names[:-1], "n_tokens", "n_text"])
 
-    sized = documents.select(*keep, F.col(text).alias("_text")).mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint, n_text bigint")
+    sized = spread(documents.select(*keep, F.col(text).alias("_text"))).mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint, n_text bigint")
     return checkpointed(sized.withColumn("row_id", F.monotonically_increasing_id()))
