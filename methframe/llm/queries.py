@@ -9,17 +9,13 @@ from methframe.llm import clusters, mixing, packing, subjects, tokens
 from methframe.session import checkpointed, table
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cluster_profiles(table(spark, d, "cell_profiles"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clusters(spark, d).where("profile_id <> cluster_id")
+    rows = clusters.cluster_ids(table(spark, d, "cell_profiles")).where("profile_id <> cluster_id")
     return rows.select(F.col("cluster_id").alias("profile_id_a"), F.col("profile_id").alias("profile_id_b"))
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.describe_clusters(checkpointed(_clusters(spark, d)))
+    return clusters.describe_clusters(checkpointed(clusters.cluster_profiles(table(spark, d, "cell_profiles"))))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

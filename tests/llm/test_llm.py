@@ -68,6 +68,39 @@ def test_clusters(spark, monkeypatch, seed, chain):
     assert all(len(r.typical) == min(3, r["size"]) for r in described)
 
 
+def test_affinity_is_to_the_whole_cluster(spark, monkeypatch):
+    """A dense middle with thin arms, in several stars and rounds: the mean affinity to all others, pair by pair, tells the typical members."""
+    monkeypatch.setattr(clusters, "SAMPLE", 12)
+    monkeypatch.setattr(clusters, "STARS_AT_ONCE", 3)
+    rng = np.random.default_rng(4)
+    levels = np.r_[np.linspace(0.05, 0.95, 31), rng.normal(0.4, 0.01, 80).clip(0.37, 0.43)]
+    cov = np.full((len(levels), 20), 200)
+    mc = np.rint((levels[:, None] + rng.normal(0, 0.005, cov.shape)).clip(0, 1) * cov).astype(int)
+    ids = rng.permutation(len(levels))
+    rows = [(int(i), m.tolist(), c.tolist(), "x") for i, m, c in zip(ids, mc, cov)]
+    df = spark.createDataFrame(rows, PROFILE)
+    assert clusters.stars(df.select("profile_id", "mc", "cov"), 20).select("leader").distinct().count() > 3
+    members = clusters.cluster_profiles(df)
+    got = {r.profile_id: r.affinity for r in members.collect()}
+    pairs = np.exp(-((np.abs(mc[:, None] / 200 - mc[None] / 200).mean(2) / clusters.SIGMA) ** 2))
+    np.fill_diagonal(pairs, 0)
+    true = dict(zip(ids.tolist(), pairs.sum(1) / (len(ids) - 1)))
+    assert len({r.cluster_id for r in members.collect()}) == 1
+    assert max(abs(got[i] - true[i]) for i in true) < 0.1
+    dense = {int(i) for i, x in zip(ids, levels) if 0.36 < x < 0.44}
+    typical = clusters.describe_clusters(members).first().typical
+    assert set(typical) <= dense and min(true[i] for i in typical) > 0.95 * max(true.values())
+    assert max(got[int(i)] for i, x in zip(ids, levels) if x < 0.2 or x > 0.6) < 0.5 * min(got[i] for i in dense)
+
+
+def test_affinity_of_one_star(spark):
+    """Against the mean of the others, reckoned by hand; a profile alone has none."""
+    rows = [(1, [2, 10], [20, 20], "x"), (2, [4, 10], [20, 20], "x"), (3, [3, None], [20, 20], "x"), (9, [20, 20], [20, 20], "x")]
+    got = {r.profile_id: r.affinity for r in clusters.cluster_profiles(spark.createDataFrame(rows, PROFILE)).collect()}
+    of = lambda d: np.exp(-((d / clusters.SIGMA) ** 2))
+    assert got == pytest.approx({1: of(0.075 / 2), 2: of(0.075 / 2), 3: of(0), 9: 0}, abs=1e-6)
+
+
 def test_no_profiles(spark):
     assert clusters.cluster_profiles(spark.createDataFrame([], PROFILE)).count() == 0
 
