@@ -452,7 +452,7 @@ def _ch(spark, d):
 
 @query()
 def dmr_ch(spark, d):
-    return dmr.call_dmr_ch(_ch(spark, d), p=0.05, permutations=3000)
+    return dmr.call_dmr_ch(_ch(spark, d), p=0.05)
 
 
 @query(f""", b as (select cell_id, chrom, (pos - 1) // {BIN} * {BIN} + 1 as bin_start, cast(sum(mc) as bigint) as mc, cast(sum(cov) as bigint) as cov from sites group by all),

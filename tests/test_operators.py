@@ -371,3 +371,13 @@ def test_cli(spark, tmp_path, capsys):
     assert spark.read.csv(out, sep="\t").count() == 2
     with pytest.raises(SystemExit):
         cli.main(["nothing"], spark)
+
+
+def test_dmr_ch_has_the_callers_permutations(spark, small, monkeypatch):
+    """10 hits of 10,000 permutations before a test stops early, as the reference has it."""
+    from methframe.plans import reference
+
+    seen, test = [], dmr.permutation_test
+    monkeypatch.setattr(dmr, "permutation_test", lambda sites, keys, how, *seed: (seen.append(how), test(sites, keys, how, *seed))[1])
+    reference.QUERIES["dmr_ch"](spark, small)
+    assert [(how["permutations"], how["permutations"] * how["min_p"]) for how in seen] == [(10_000, 10)]
