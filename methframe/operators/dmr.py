@@ -171,7 +171,63 @@ def one_vs_rest_sites(sites: DataFrame, by: str) -> DataFrame:
     return t.select("chrom", "pos", by, p.alias("p"), (F.col("a") / (F.col("a") + F.col("b")) - F.col("c") / (F.col("c") + F.col("d"))).alias("delta"))
 
 
+def _against_rest(samples: DataFrame, by: str, within: list[str], how: dict) -> DataFrame:
+    """One row per sample and site that both groups cover: within, by, chrom, pos, n_samples (of the class), rate_a, rate_b and the list ``cells``, as ``eligible`` has them."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(by).alias("s"), "mc", "cov")))
+    one = samples.groupBy(*within, "n_samples", "chrom", "pos").agg(each.alias("all")).withColumn("own", F.explode("all.s"))
+    cells = F.transform("all", lambda x: F.struct(x["s"].eqNullSafe(F.col("own")).alias("in_a"), x["mc"].alias("mc"), x["cov"].alias("cov")))
+    one = one.select(*within, F.col("own").alias(by), "n_samples", "chrom", "pos", cells.alias("cells"))
+    n = lambda a: F.size(F.filter("cells", lambda x: (x["in_a"] == a) & (x["cov"] >= how["min_cov"])))
+    one = one.where((n(True) >= how["min_samples"]) & (n(False) >= how["min_samples"]))
+    covered = lambda a: F.filter("cells", lambda x: (x["in_a"] == a) & (x["cov"] > 0))
+    rate = lambda a: F.aggregate(covered(a), F.lit(0.0), lambda s, x: s + x["mc"] / x["cov"]) / F.nullif(F.size(covered(a)), F.lit(0))
+    return one.withColumn("rate_a", rate(True)).withColumn("rate_b", rate(False))
+
+
+def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, method: str = "cg", min_class_size: int = 2, **options: float) -> DataFrame:
+    """Regions in which a sample differs from all others (of its class, the column ``within``), which stay separate samples; one job for all.
+
+    ``sites`` (by, within, chrom, pos, mc, cov) are added up per sample. Classes under ``min_class_size`` samples, and samples without a class,
+    drop out. ``cg`` tests as ``call_dmr`` does, with Fisher's test where a class has two samples; ``ch`` as ``call_dmr_ch`` does,
+    with counts scaled to the median rate of the class. A sample is a group of one: ``ch`` needs min_samples=1 to find any.
+    """
+    if method not in ("cg", "ch"):
+        raise ValueError(f"method must be cg or ch, not {method}")
+    how = (CG if method == "cg" else CH) | options
+    group = [within] if within else []
+    rows = sites.where(F.col(within).isNotNull()) if within else sites
+    name = F.to_json(F.struct(F.col(by).alias("s")))  # a null sample counts
+    size = rows.groupBy(*group).agg(F.countDistinct(name).alias("n_samples")).where(F.col("n_samples") >= max(2, min_class_size if within else 2))
+    sized = lambda df: df.join(size, group) if group else df.crossJoin(size)
+    keys = [*group, by, "chrom", "pos"]
+    if method == "cg":
+        samples = sized(rows.groupBy(*keys).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov")))
+        tests = prefilter(_against_rest(samples, by, group, how), how["delta"])
+        alone = lambda a, c: F.filter("cells", lambda x: x["in_a"] == a)[0][c]
+        exact = fisher_two_sided(alone(True, "mc"), alone(True, "cov") - alone(True, "mc"), alone(False, "mc"), alone(False, "cov") - alone(False, "mc"))
+        pairs = tests.where("n_samples = 2 and rate_a is not null and rate_b is not null").select(*keys, exact.alias("p"), (F.col("rate_a") - F.col("rate_b")).alias("delta"))
+        tested = permutation_test(tests.where("n_samples > 2"), keys, how).select(*keys, "p", "delta").unionByName(pairs)
+        return merge_sites(tested.where((F.col("p") < how["p"]) & (F.abs("delta") > how["delta"])), how["max_dist"], how["min_dms"], [*group, by])
+    start = F.expr(f"(pos - 1) div {how['bin']} * {how['bin']} + 1")
+    bins = rows.groupBy(*group, by, "chrom", start.alias("pos")).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
+    rates = bins.groupBy(*group, by).agg(F.when(F.sum("cov") > 0, F.sum("mc") / F.sum("cov")).otherwise(0.0).alias("rate"))
+    target = rates.groupBy(*group).agg(F.median(F.when(F.col("rate") > 0, F.col("rate"))).alias("target"))
+    rates = (rates.join(target, group) if group else rates.crossJoin(target)).withColumnsRenamed({k: f"_{k}" for k in [*group, by]})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*group, by]]
+    scale = F.when(F.col("rate") > 0, F.col("target") / F.col("rate")).otherwise(1.0)
+    scaled = bins.join(F.broadcast(rates), same).withColumn("mc", F.least(F.rint(F.col("mc") * scale).cast("bigint"), F.col("cov"))).select(*keys, "mc", "cov")
+    tests = _against_rest(sized(scaled), by, group, how)
+    of = lambda a, c: F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.when(x["in_a"] == a, x[c]).otherwise(0))
+    weighed = lambda a: F.when(of(a, "cov") > 0, of(a, "mc") / of(a, "cov")).otherwise(0.0)
+    tests = prefilter(tests.withColumn("rate_a", weighed(True)).withColumn("rate_b", weighed(False)), how["delta"])
+    fold = F.when((F.col("rate_a") > 0) & (F.col("rate_b") > 0), F.log2(F.col("rate_a") / F.col("rate_b"))).otherwise(0.0)
+    tests = tests.where(F.abs(fold) >= how["log2fc"])
+    called = permutation_test(tests, keys, how).where(F.col("p") < how["p"]).withColumn("delta", F.col("rate_a") - F.col("rate_b"))
+    return merge_sites(called, max(how["max_dist"], how["bin"]), how["min_dms"], [*group, by]).withColumn("end_pos", F.col("end_pos") + how["bin"] - 1)
+
+
 def call_one_vs_rest(sites: DataFrame, by: str, **options: float) -> DataFrame:
+    """Each sample against the pooled rest by Fisher's test, a plainer question than ``call_dmr_one_vs_rest``: a deep sample dominates the rest."""
     how = CG | options
     tested = one_vs_rest_sites(sites, by)
     return merge_sites(tested.where((F.col("p") < how["p"]) & (F.abs("delta") > how["delta"])), how["max_dist"], how["min_dms"], [by])

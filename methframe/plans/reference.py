@@ -432,6 +432,26 @@ def dmr_one_vs_rest(spark, d):
     return _rounded(dmr.call_one_vs_rest(v.sites(spark, d).join(v.cells(spark, d), "cell_id"), "sname", p=0.05))
 
 
+def _with_cells(spark, d, sites):
+    return sites.join(v.cells(spark, d), "cell_id")
+
+
+@query()
+def dmr_one_vs_rest_samples(spark, d):
+    return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d)), "sname", p=0.05)
+
+
+@query()
+def dmr_one_vs_rest_class(spark, d):
+    return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d)), "sname", "cell_class", p=0.05)
+
+
+@query()
+def dmr_one_vs_rest_ch(spark, d):
+    ch = v.reference(spark, d).where("context not like 'CG%'").select("chrom", "pos")
+    return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d).join(ch, ["chrom", "pos"], "left_semi")), "sname", method="ch", p=0.05, min_samples=1)
+
+
 @query("""select chrom, pos, n_a, n_b, round(rate_a, 6) as rate_a, round(rate_b, 6) as rate_b from (
 select chrom, pos, cast(sum(case when in_a then 1 else 0 end) as bigint) as n_a, cast(sum(case when not in_a then 1 else 0 end) as bigint) as n_b, avg(case when in_a then mc / cov end) as rate_a, avg(case when not in_a then mc / cov end) as rate_b from grouped where cov > 0 group by all)
 where n_a >= 1 and n_b >= 1 and abs(rate_a - rate_b) >= 0.2""")

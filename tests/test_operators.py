@@ -381,3 +381,26 @@ def test_dmr_ch_has_the_callers_permutations(spark, small, monkeypatch):
     monkeypatch.setattr(dmr, "permutation_test", lambda sites, keys, how, *seed: (seen.append(how), test(sites, keys, how, *seed))[1])
     reference.QUERIES["dmr_ch"](spark, small)
     assert [(how["permutations"], how["permutations"] * how["min_p"]) for how in seen] == [(10_000, 10)]
+
+
+def test_one_vs_rest_keeps_the_samples_apart(spark):
+    """As the two-group caller gives it, sample by sample; one deep sample doesn't stand for the rest."""
+    rows = []
+    for pos in range(100, 200, 10):
+        for s in range(6):
+            rows.append((f"s{s}", "k", "x", pos, 18 if s == 0 else 1, 20))
+        rows.append(("deep", "k", "x", pos, 360, 400))  # like s0: pooled, it hides that s0 differs from the others
+        rows += [("s8", "two", "x", pos, 19, 20), ("s9", "two", "x", pos, 1, 20), ("s7", "lone", "x", pos, 9, 20), ("s6", None, "x", pos, 9, 20)]
+    df = spark.createDataFrame(rows, "sname string, cell_class string, chrom string, pos bigint, mc bigint, cov bigint")
+    shape = lambda out, *key: sorted((*[r[k] for k in key], r.chrom, r.start_pos, r.end_pos, r.n_dms, r.state, round(r.frac_delta_mean, 9)) for r in out.collect())
+    known = df.where("cell_class = 'k'")
+    for method, call, how in (("cg", dmr.call_dmr, {"permutations": 500, "p": 0.05}), ("ch", dmr.call_dmr_ch, {"permutations": 500, "p": 0.05, "bin": 50, "min_samples": 1, "min_dms": 1, "max_dist": 50})):
+        expected = []
+        for s in [r.sname for r in known.select("sname").distinct().collect()]:
+            expected += [(s, *r) for r in shape(call(known.withColumn("in_a", F.col("sname") == s).withColumn("cell_id", F.col("sname")), **how))]
+        assert shape(dmr.call_dmr_one_vs_rest(known, "sname", method=method, **how), "sname") == sorted(expected)
+        classed = shape(dmr.call_dmr_one_vs_rest(df, "sname", "cell_class", method, **how), "cell_class", "sname")
+        assert [r[1:] for r in classed if r[0] == "k"] == sorted(expected) and {r[0] for r in classed} <= {"k", "two"}
+        if method == "cg":
+            assert "s0" in {r[0] for r in expected} and "s0" not in {r[0] for r in shape(dmr.call_one_vs_rest(known, "sname", p=1e-3, delta=0.5), "sname")}
+            assert [r[1] for r in classed if r[0] == "two"] == ["s8", "s9"]
