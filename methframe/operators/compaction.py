@@ -209,13 +209,18 @@ def manifest(records: DataFrame) -> DataFrame:
     )
 
 
+def ranges_for(files: DataFrame, target_bytes: int = FILE_BYTES) -> int:
+    """As many ranges as the records need at ``target_bytes`` a file, at least one."""
+    size = runs_of(files).agg(F.sum(F.col("n") * (FIXED_RECORD_BYTES + F.coalesce(F.length("cell"), F.lit(0)) + F.coalesce(F.length("chrom"), F.lit(0))))).first()[0] or 0
+    return max(1, -(-size // target_bytes))
+
+
 def compact(files: DataFrame, path: str, target_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the consolidated table to ``path`` (one Parquet file per output file) and return its manifest.
 
     As many ranges as the records need at ``target_bytes`` a file, at least one; nothing is lost or held twice.
     """
-    size = runs_of(files).agg(F.sum(F.col("n") * (FIXED_RECORD_BYTES + F.coalesce(F.length("cell"), F.lit(0)) + F.coalesce(F.length("chrom"), F.lit(0))))).first()[0] or 0
-    records = merged_records(files, max(1, -(-size // target_bytes)), target_bytes)
+    records = merged_records(files, ranges_for(files, target_bytes), target_bytes)
     rows = kept(records).withColumn("out_file", F.format_string("%06d-%04d", "part", "out_seq"))
     rows.repartition("out_file").sortWithinPartitions("out_file", "cell", "chrom", "pos", "file_id", "rec_no").select("out_file", "cell", "chrom", "pos", "mc", "cov").write.mode("overwrite").partitionBy("out_file").parquet(path)
     key = F.struct("cell", "chrom", "pos")

@@ -56,7 +56,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.manifest(compaction.merged_records(table(spark, d, "cz_files")))
+    files = table(spark, d, "cz_files")
+    return compaction.manifest(compaction.merged_records(files, compaction.ranges_for(files)))
 
 
 def p4_cell_totals(spark: SparkSession, d: str) -> DataFrame:

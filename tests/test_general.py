@@ -207,6 +207,16 @@ def test_consolidated_files(spark, tmp_path):
     assert written.groupby("out_file", observed=True).pos.apply(lambda p: len(p) * 19 <= target).all()
 
 
+def test_manifest_has_files_by_bytes(spark, small):
+    """Few well-sized files, whatever the session's partitions are: the small table is one file."""
+    from methframe.plans import general
+
+    rows = general.QUERIES["p4_manifest"](spark, small).collect()
+    assert [r.out_file for r in rows] == ["000000-0000"]
+    files = spark.read.parquet(f"{small}/cz_files.parquet")
+    assert rows[0].n_records == compaction.kept(compaction.merged_records(files, 5)).count()
+
+
 # damaged lines
 
 GOOD = "chr1\t12\t+\tCGA\t1\t2\t1"
