@@ -36,13 +36,13 @@ def plain_clusters(rows):
     return {r[0]: find(r[0]) for r in rows}
 
 
-def profiles(seed, n=90, width=16, chain=False):
+def profiles(seed, n=90, width=16, chain=False, deep=(6, 40)):
     rng = np.random.default_rng(seed)
     centres = rng.random((7, width)) if not chain else np.linspace(0.05, 0.95, 40)[:, None].repeat(width, 1)
     out = []
     for i in range(n):
         f = centres[rng.integers(len(centres))] + rng.normal(0, 0.03, width)
-        cov = rng.integers(6, 40, width)
+        cov = rng.integers(*deep, width)
         mc = np.clip(np.rint(f.clip(0, 1) * cov), 0, cov).astype(int)
         m, c = mc.tolist(), cov.tolist()
         for k in np.flatnonzero(rng.random(width) < 0.15):
@@ -79,7 +79,7 @@ def test_affinity_is_to_the_whole_cluster(spark, monkeypatch):
     ids = rng.permutation(len(levels))
     rows = [(int(i), m.tolist(), c.tolist(), "x") for i, m, c in zip(ids, mc, cov)]
     df = spark.createDataFrame(rows, PROFILE)
-    assert clusters.stars(df.select("profile_id", "mc", "cov"), 20).select("leader").distinct().count() > 3
+    assert clusters.stars(df.select("profile_id", "mc", "cov"), 20)[0].select("leader").distinct().count() > 3
     members = clusters.cluster_profiles(df)
     got = {r.profile_id: r.affinity for r in members.collect()}
     pairs = np.exp(-((np.abs(mc[:, None] / 200 - mc[None] / 200).mean(2) / clusters.SIGMA) ** 2))
@@ -93,12 +93,51 @@ def test_affinity_is_to_the_whole_cluster(spark, monkeypatch):
     assert max(got[int(i)] for i, x in zip(ids, levels) if x < 0.2 or x > 0.6) < 0.5 * min(got[i] for i in dense)
 
 
-def test_affinity_of_one_star(spark):
-    """Against the mean of the others, reckoned by hand; a profile alone has none."""
+def test_affinity_of_few(spark):
+    """Pair by pair, reckoned by hand; a profile alone has none."""
     rows = [(1, [2, 10], [20, 20], "x"), (2, [4, 10], [20, 20], "x"), (3, [3, None], [20, 20], "x"), (9, [20, 20], [20, 20], "x")]
     got = {r.profile_id: r.affinity for r in clusters.cluster_profiles(spark.createDataFrame(rows, PROFILE)).collect()}
     of = lambda d: np.exp(-((d / clusters.SIGMA) ** 2))
-    assert got == pytest.approx({1: of(0.075 / 2), 2: of(0.075 / 2), 3: of(0), 9: 0}, abs=1e-6)
+    assert got == pytest.approx({1: (of(0.05) + of(0.05)) / 2, 2: (of(0.05) + of(0.05)) / 2, 3: of(0.05), 9: 0}, abs=1e-6)
+
+
+@pytest.mark.parametrize("sample", [6, 40])
+def test_typical_members_of_a_chain(spark, monkeypatch, sample):
+    """Ten equal steps in one cluster, and an edge that is alike to one member only: the typical ones are those of all pairs."""
+    monkeypatch.setattr(clusters, "SAMPLE", sample)
+    level = [*range(0, 50, 5), 57]
+    rows = [(i, [x] * 16, [100] * 16, "x") for i, x in enumerate(level)]
+    members = clusters.cluster_profiles(spark.createDataFrame(rows, PROFILE))
+    assert {r.cluster_id for r in members.collect()} == {0}
+    pairs = np.exp(-((np.abs(np.subtract.outer(level, level)) / 100 / clusters.SIGMA) ** 2))
+    np.fill_diagonal(pairs, 0)
+    true = pairs.mean(1) * len(level) / (len(level) - 1)
+    got = {r.profile_id: r.affinity for r in members.collect()}
+    assert got == pytest.approx(dict(enumerate(true)), abs=1e-6)
+    assert clusters.describe_clusters(members).first().typical == sorted(got, key=lambda i: (-got[i], i))[:3]
+    assert max(got, key=got.get) not in (0, 9, 10)
+
+
+def test_embedding_decides_before_the_check(spark, monkeypatch):
+    """The clusters of the embedding are nearly those of all pairs; without the walk they are not, and only the check mends that."""
+    monkeypatch.setattr(clusters, "SAMPLE", 60)
+    rows = profiles(5, n=300, width=48, deep=(30, 200))
+    df, plain = spark.createDataFrame(rows, PROFILE), plain_clusters(rows)
+    agree = lambda: sum(plain[r.profile_id] == r.cluster_id for r in clusters.spectral_ids(df).collect()) / len(plain)
+    assert agree() > 0.9
+    assert {r.profile_id: r.cluster_id for r in clusters.cluster_ids(df).collect()} == plain
+    walk = clusters._embedding
+    monkeypatch.setattr(clusters, "_embedding", lambda steps: walk(steps).selectExpr("id", "leader", *[f"rand({k}) as v{k}" for k in range(clusters.VECTORS)]))
+    assert agree() < 0.7
+    assert {r.profile_id: r.cluster_id for r in clusters.cluster_ids(df).collect()} == plain
+
+
+def test_cluster_queries_give_the_rows_of_their_sql(spark, small):
+    from compare import compare
+    from methframe.llm.queries import QUERIES, SQL
+
+    for name in ("p6_found", "p6_clusters"):
+        assert compare(spark, QUERIES[name], SQL[name], small) == ""
 
 
 def test_no_profiles(spark):
