@@ -68,7 +68,7 @@ SQL: dict[str, str] = {
     "p6_found": _PAIRS + "select cluster_id as profile_id_a, id as profile_id_b from named where id <> cluster_id",
     "p6_clusters": _PAIRS
     + f""", size as (select cluster_id, count(*) as size from named group by all),
-near as (select x.id, x.cluster_id, size, round(coalesce(sum(exp(-(d / {clusters.SIGMA}) ** 2)), 0) / greatest(size - 1, 1), 9) as affinity
+near as (select x.id, x.cluster_id, size, round(coalesce(sum(exp(-1 * power(d / {clusters.SIGMA}, 2))), 0) / greatest(size - 1, 1), 9) as affinity
   from named x join size using (cluster_id) left join named y on y.cluster_id = x.cluster_id and y.id <> x.id left join pair on a = x.id and b = y.id group by x.id, x.cluster_id, size),
 best as (select *, row_number() over (partition by cluster_id order by affinity desc, id) as n from near)
 select cluster_id, size, cast(n - 1 as integer) as place, id as profile_id from best where n <= 3""",
