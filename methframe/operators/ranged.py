@@ -8,10 +8,27 @@ from one small state per partition and key. There are at most (partitions + keys
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from methframe.session import partitions_of
+from methframe.session import checkpointed, partitions_of
+
+
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """Whether each row but the first differs from the one before it in any of the columns; nulls are equal to each other."""
+    size = len(columns[0]) if columns else 0
+    out = np.zeros(max(size - 1, 0), bool)
+    for c in columns:
+        a, b = c.slice(0, max(size - 1, 0)), c.slice(1)
+        known = pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        out |= known | pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return out
 
 
 def ranged(df: DataFrame, keys: list[str], tiebreak: str | None = None, partitions: int | None = None, sort: bool = True) -> DataFrame:
@@ -33,3 +50,35 @@ def part_id() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """``df`` with each row's number, from 0, within ``group`` (null is a group) in the order of ``order``; no task holds a group.
+
+    Rows that tie in ``order`` are numbered in any order. Partitions number their own rows; the groups that go on from an earlier
+    partition, at most one for each partition, then get the count of what is before.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    at = [df.columns.index(c) for c in group]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = part_id(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(i) for i in at]
+            heads = np.flatnonzero(np.r_[True, changes(keys) if keys else np.zeros(b.num_rows - 1, bool)])
+            local = np.arange(b.num_rows) - np.repeat(heads, np.diff(np.r_[heads, b.num_rows]))
+            if last is not None and [k[0].as_py() for k in keys] == last:
+                local[: heads[1] if len(heads) > 1 else b.num_rows] += seen
+            last, seen = [k[b.num_rows - 1].as_py() for k in keys], int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(local)], [*b.schema.names, "_part", "_local"])
+
+    rows = df.repartitionByRange(partitions or partitions_of(df.sparkSession), *group, *order).sortWithinPartitions(*group, *order)
+    rows = checkpointed(rows.mapInArrow(number, f"{kinds}, _part int, _local bigint"))
+    ends = rows.groupBy(*group, "_part").agg((F.max("_local") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = ends.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), before.alias("_base")).where("_base is not null")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], F.col("_part") == F.col("_p"))
+    out = rows.join(F.broadcast(base), same, "left").withColumn(name, F.col("_local") + F.coalesce("_base", F.lit(0)))  # at most one row a partition
+    return out.select(*df.columns, name)

@@ -52,7 +52,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.copies(compaction.merged_records(table(spark, d, "cz_files")))
+    return compaction.copies(compaction.merged_records(table(spark, d, "cz_files"), copies_only=True))
 
 
 def p4_manifest(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -182,8 +183,10 @@ def test_copies(spark, seed, ranges):
 
 def test_one_file_and_one_record_hold_most(spark):
     files = [(0, "c", "x", [5] * 3000 + list(range(6, 3006)), [1] * 6000, [2] * 6000, "")] + [(i, "c", "x", [5] * 10, [1] * 10, [2] * 10, "") for i in range(1, 200)]
-    records = compaction.merged_records(spark.createDataFrame(files, FILES), 12)
+    df = spark.createDataFrame(files, FILES)
+    records = compaction.merged_records(df, 12)
     assert sorted(tuple(r) for r in compaction.copies(records).collect()) == plain_copies(files)[0]
+    assert compaction.copies(compaction.merged_records(df, 12, copies_only=True)).count() == len(plain_copies(files)[0])
     sizes = [r["count"] for r in records.groupBy("part").count().collect()]
     assert sum(sizes) == 6000 + 1990 and max(sizes) < 2 * sum(sizes) / 12
 
@@ -195,16 +198,46 @@ def test_no_files(spark):
     assert compaction.manifest(records).count() == 0
 
 
-def test_consolidated_files(spark, tmp_path):
-    files = [(i, f"c{i % 3}", "x", list(range(i, i + 20)), [1] * 20, [2] * 20, "") for i in range(200)]
-    target = 4000
-    rows = compaction.compact(spark.createDataFrame(files, FILES), str(tmp_path / "out"), target).orderBy("low").collect()
+@pytest.mark.parametrize("target", [4000, 900])
+def test_consolidated_files(spark, tmp_path, target):
+    files = [(i, f"c{i % 3}" if i % 50 else None, "x", list(range(i, i + 20)), [1] * 20, [2] * 20, "") for i in range(200)]
+    df = spark.createDataFrame(files, FILES)
+    for _ in range(2):  # what is there is replaced
+        compaction.compact(df, str(tmp_path / "out"), target)
+    rows = spark.read.parquet(str(tmp_path / "out" / "_manifest")).collect()
+    low, high = (lambda r: ((r.low_cell is not None, r.low_cell), r.low_pos)), (lambda r: ((r.high_cell is not None, r.high_cell), r.high_pos))
+    rows.sort(key=low)
     assert sum(r.n_records for r in rows) == plain_copies(files)[1]
-    assert all(a.high < b.low for a, b in zip(rows, rows[1:]))
-    assert len(rows) < 25 < len(files)
-    written = pq.read_table(tmp_path / "out").to_pandas()
-    assert not written[["cell", "chrom", "pos"]].duplicated().any()
-    assert written.groupby("out_file", observed=True).pos.apply(lambda p: len(p) * 19 <= target).all()
+    assert all(high(a) < low(b) for a, b in zip(rows, rows[1:]))
+    assert sum(r.n_bytes for r in rows) / target <= len(rows) < 1.5 * 200 * 20 * 19 / target + 2  # ranges are planned with the copies in
+    assert {p.name for p in (tmp_path / "out").glob("*.parquet")} == {r.out_file for r in rows}
+    for r in rows:
+        one = pq.read_table(tmp_path / "out" / r.out_file)
+        assert len(one) == r.n_records and r.n_bytes <= target
+        assert one.column("pos")[0].as_py() == r.low_pos and one.column("pos")[-1].as_py() == r.high_pos
+    written = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert not written[["cell", "chrom", "pos"]].duplicated().any() and len(written) == plain_copies(files)[1]
+
+
+def test_the_merge_runs_once(spark, small):
+    """One scan of the files and one merge in the plan of the manifest, and no sample on the driver beyond the cuts."""
+    from methframe.plans import general
+
+    plan = general.QUERIES["p4_manifest"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Relation") == 1
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=60), st.integers(1, 30))
+def test_rolling(widths, most):
+    whole, parts = compaction._Merge(0, most), compaction._Merge(0, most)
+    seq = whole.roll(np.array(widths, int)) if widths else np.zeros(0, int)
+    sizes = [sum(w for w, s in zip(widths, seq) if s == k) for k in range(len(set(seq.tolist())))]
+    assert sorted(set(seq.tolist())) == list(range(len(sizes)))
+    assert all(x <= most or [w for w, s in zip(widths, seq) if s == k] == [x] for k, x in enumerate(sizes))
+    cut = len(widths) // 2
+    again = [parts.roll(np.array(x, int)) for x in (widths[:cut], widths[cut:]) if x]
+    assert np.concatenate(again or [seq]).tolist() == seq.tolist()
 
 
 def test_manifest_has_files_by_bytes(spark, small):
