@@ -140,6 +140,11 @@ s as (select sname, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos
 n as (select sname, chrom, end_pos, lead(start_pos) over (partition by sname, chrom order by start_pos) as next_start from s)
 select 'merged' as kind, sname, chrom, start_pos, end_pos from s union all select 'gap', sname, chrom, end_pos, next_start from n where next_start is not null""",
     "p4_found": _KINDS + "select file_id, cast(rec_no as integer) as rec_no from ranked where n > 1",
+    # one file as long as all records fit it, which the small tables do
+    "p4_manifest": _KINDS
+    + "select '000000-0000' as out_file, "
+    + ", ".join(f"first({c} order by cell {o}, chrom {o}, pos {o}) as {a}_{c}" for a, o in (("low", "asc nulls first"), ("high", "desc nulls last")) for c in ("cell", "chrom", "pos"))
+    + f", count(*) as n_records, cast(sum({compaction.FIXED_RECORD_BYTES} + coalesce(strlen(cell), 0) + coalesce(strlen(chrom), 0)) as bigint) as n_bytes from ranked where n = 1 having count(*) > 0",
     "p4_cell_totals": _KINDS + "select cell, chrom, count(*) as n_records, cast(sum(mc) as bigint) as sum_mc, cast(sum(cov) as bigint) as sum_cov from ranked where n = 1 group by cell, chrom",
     "p5_found": _LINES + "select line_id, reason from judged where reason is not null",
     "p5_valid": _LINES + "select line_id, f[1] as chrom, cast(pos as bigint) as pos, f[3] as strand, f[4] as context, cast(mc as integer) as mc, cast(cov as integer) as cov, f[7] as flag from judged where reason is null",

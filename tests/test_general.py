@@ -54,14 +54,33 @@ def test_orphans_of_empty_tables(spark):
     assert orphans.find_orphans(all_, parents(spark, []), ["chrom", "pos"], "rec", "loaded_at").count() == 8
 
 
-def test_filter_proves_most_orphans(spark):
-    parent = spark.range(2000).select("id")
-    bloom = orphans.bloom_filter(parent, ["id"], 2000)
-    hits = spark.range(20_000).where(orphans.might_contain(bloom, ["id"]))
-    assert hits.where("id < 2000").count() == 2000
+@pytest.mark.parametrize("bits", [orphans.MAX_FILTER_BITS, 0])
+def test_filter_proves_most_orphans(spark, monkeypatch, bits):
+    """Broadcast or sharded, the filter lets all parents and few others through."""
+    monkeypatch.setattr(orphans, "MAX_FILTER_BITS", bits)
+    found = orphans.with_hit(spark.range(20_000), spark.range(2000).withColumnRenamed("id", "p"), ["p"], ["id"], 2000)
+    hits = found.where("hit")
+    assert found.count() == 20_000 and hits.where("id < 2000").count() == 2000
     assert hits.count() < 2000 + 0.02 * 18_000
 
 
+@pytest.mark.parametrize("bits", [orphans.MAX_FILTER_BITS, 64])
+def test_each_child_is_read_once(spark, small, monkeypatch, bits):
+    """Also where the filter is too large to be one value, which must not switch it off."""
+    import re
+
+    from methframe.plans import general
+
+    monkeypatch.setattr(orphans, "MAX_FILTER_BITS", bits)
+    for child, parent, keys, row_key, at in general.REFERENCES:
+        t = {name: spark.read.parquet(f"{small}/{name}.parquet") for name in (child, parent)}
+        plan = orphans.find_orphans(t[child], t[parent], keys, row_key, at)._jdf.queryExecution().toString()
+        plan = plan[plan.index("== Optimized Logical Plan ==") : plan.index("== Physical Plan ==")]
+        assert "_need" in plan or "scalar-subquery" in plan
+        columns = lambda name: len(re.findall(r"Relation \[" + t[name].columns[0] + "#", plan))
+        assert columns(child) == 1 and columns(parent) <= 3  # keys for a sharded filter, validity, kind
+
+
 # hot keys
 
 
