@@ -43,6 +43,19 @@ def test_fisher(spark):
     assert max(abs(r.p - plain_fisher(r.a, r.b, r.c, r.d)) for r in got) < 1e-9
 
 
+def test_deep_tables_and_nulls(spark):
+    """Counts whose support would be long: against the symmetric case, the sum over the support, and no value for what is no table."""
+    a = np.array([50_000, 60_000, 10, 100_000]), np.array([50_000, 40_000, 99_990, 0]), np.array([50_000, 50_000, 12, 0]), np.array([50_000, 50_000, 99_988, 100_000])
+    got = stats.fisher_p(*a)
+    assert got[0] == pytest.approx(1) and got[1] == 0.0 and got[3] == 0.0
+    low = sum(math.exp(stats._Tables(*(x[2:3] for x in a)).log_p(np.array([x]))[0]) for x in range(11))
+    assert got[2] == pytest.approx(2 * low, rel=1e-6)
+    df = spark.createDataFrame([(1, 2, None, 4), (1, -2, 3, 4), (1, 2, 3, 4)], "a bigint, b bigint, c bigint, d bigint")
+    assert [r.p is None for r in df.select(stats.fisher_two_sided(*map(F.col, "abcd")).alias("p")).collect()] == [True, True, False]
+    assert df.select(stats.binomial_tail(F.col("a"), F.col("c"), F.lit(1.0)).alias("p")).where("p is not null").count() == 0
+    assert stats.binomial_above(np.array([499_999]), np.array([1_000_000]), np.array([0.5]))[0] == pytest.approx(0.5004, abs=1e-4)
+
+
 def test_binomial_tail_and_log_factorial(spark):
     rows = [(m, c, p) for c in (1, 7, 60) for m in range(0, c + 1, max(1, c // 5)) for p in (0.01, 0.4, 0.99)]
     df = spark.createDataFrame(rows, "mc bigint, cov bigint, p double").select("*", stats.binomial_tail(F.col("mc"), F.col("cov"), F.col("p")).alias("t"))
