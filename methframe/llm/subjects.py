@@ -6,8 +6,9 @@ A link through a word is verified: on trusted seeds, or in propagation, the word
 by share and by significance. Words of the tooling around a notebook are found on the seeds too: words of cells that
 look like a subject which the document isn't labelled with; such cells are cut out of that subject.
 
-One iteration goes cells -> words -> cells by DataFrame joins. Cells of trusted seeds are clamped to their labels while words
-are weighed. Each cell keeps a share for every subject it supports; a document has the subjects with enough cells.
+One iteration goes cells -> words -> cells by DataFrame joins, until the links settle. Seeds are trusted if what their own cells bear out is just
+what they are labelled with; in every pass, and in the result, their cells are clamped to those labels. The other labelled documents are judged by their
+cells, like any document. Each cell keeps a share for every subject it supports; a document has the subjects with enough cells.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ LEAST_EVIDENCE = 0.6
 LEAST_CELLS, LEAST_SHARE = 0.9, 0.15
 #: Cells that a subject needs beside a stronger one: a single cell is a mention.
 LEAST_CELLS_BESIDE = 1.5
-ITERATIONS = 2
+#: Passes at most, and the share of links that may still change when they have settled.
+ITERATIONS = 6
+SETTLED = 0.01
 
 _WORD = re.compile(r"[^\W\d_A-Z]{1}[^\W\d_A-Z]+|[A-Z][^\W\d_A-Z]+|[A-Z]{2,}")
 
@@ -110,8 +115,21 @@ class _Graph:
         total = use.groupBy("doc_id", "cell", "mask").agg(*sums, *marks)
         return _shares(total, ["doc_id", "cell", "mask"], self.n, least)
 
-    def clamped(self, k: int) -> Column:
-        return F.when(F.col("mask").isNull() | _bits(F.col("mask"), k), F.col(self.p[k])).otherwise(0.0)
+    def clamped(self, shares: DataFrame) -> DataFrame:
+        """``shares`` with those of trusted seeds (mask) set to their labels: what a cell has of them, scaled to 1; nothing of other subjects."""
+        own = [F.when(_bits(F.col("mask"), k), F.col(p)).otherwise(0.0) for k, p in enumerate(self.p)]
+        whole = sum(own[1:], own[0])
+        step = shares.withColumn("_own", F.when(F.col("mask").isNotNull(), whole))
+        return step.withColumns({p: F.when(F.col("mask").isNull(), F.col(p)).when(F.col("_own") > 0, o / F.col("_own")).otherwise(0.0) for p, o in zip(self.p, own)}).drop("_own")
+
+    def judged(self, shares: DataFrame) -> DataFrame:
+        """doc_id, mask, subject, n_cells: the subjects with enough cells."""
+        mass = shares.groupBy("doc_id", "mask").agg(*[F.sum(p).alias(p) for p in self.p])
+        whole = sum([F.col(p) for p in self.p[1:]], F.col(self.p[0]))
+        mass = mass.withColumn("whole", whole).withColumn("most", F.greatest(*[F.col(p) for p in self.p], F.lit(0.0), F.lit(0.0)))
+        enough = F.when(F.col("n_cells") < F.col("most"), LEAST_CELLS_BESIDE).otherwise(LEAST_CELLS)
+        rows = self.long(mass, ["doc_id", "mask", "whole", "most"], {"n_cells": self.p})
+        return rows.where((F.col("n_cells") >= enough) & (F.col("n_cells") >= LEAST_SHARE * F.col("whole"))).select("doc_id", "mask", "subject", "n_cells")
 
     def long(self, sums: DataFrame, keys: list[str], columns: dict[str, list[str]]) -> DataFrame:
         """One row per word and subject from one column per subject."""
@@ -124,12 +142,30 @@ def _significant(found: Column, uses: Column, share: Column) -> Column:
     return (found - expected) / F.sqrt(expected + 1e-9) >= DEVIATIONS
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
+def _without(cells_: DataFrame, idle: DataFrame) -> DataFrame:
+    """``cells_`` without the words of ``idle``, which is checkpointed and goes to the tasks where it is small; it only saves work."""
+    if idle.count() > MAX_BROADCAST_ROWS:
+        return cells_
+    sent = cells_.sparkSession.sparkContext.broadcast(np.sort(idle.select("word").toArrow().column(0).to_numpy()))
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(3)
+            flat, size = words.flatten().to_numpy(), pc.list_value_length(words).to_numpy().astype(np.int64)
+            at = np.minimum(np.searchsorted(sent.value, flat), max(len(sent.value) - 1, 0))
+            stay = sent.value[at] != flat if len(sent.value) else np.ones(len(flat), bool)
+            left = np.bincount(np.repeat(np.arange(len(size)), size)[stay], minlength=len(size))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(flat[stay]))], b.schema.names)
+
+    return cells_.select("doc_id", "cell", "mask", "words").mapInArrow(drop, "doc_id bigint, cell bigint, mask int, words array<bigint>")
+
+
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, passes: int = ITERATIONS) -> DataFrame:
     """doc_id, subject, n_cells (cells' shares summed): one row per document and subject that its cells are about.
 
-    Documents without cells, or with none about a subject, have no row. Labels only teach: a labelled document is judged by its cells like any
-    other. Null and empty texts have no cells; damaged notebooks are read as far as they go. Rows that repeat a doc_id count as one document.
-    Labels with a subject that isn't in ``subjects`` count as none of them. Without labels, documents or subjects there are no rows.
+    Documents without cells, or with none about a subject, have no row; a trusted seed has the rows of its labels. Null and empty texts have no cells; damaged
+    notebooks are read as far as they go. Rows that repeat a doc_id count as one document. Labels with a subject that isn't in ``subjects`` count as none of
+    them. Without labels, documents or subjects there are no rows. ``passes``: of propagation at most; with 0 the words of the seeds decide alone.
     """
     spark = documents.sparkSession
     names = sorted(r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect())  # a configuration table
@@ -139,17 +175,19 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     seeds = checkpointed(trusted_seeds(labels, names))
     sent = F.broadcast(seeds)  # at most MAX_SEEDS rows of 12 bytes
     n_seeds = seeds.count()
-    docs = documents.select("doc_id", "nb_format", "text")
     hashed = F.transform("words", lambda w: F.xxhash64(w))
+    # texts are parsed once
+    whole = words_of_cells(documents.select("doc_id", "nb_format", "text")).select("doc_id", "cell", hashed.alias("words"))
+    whole = checkpointed(whole.join(sent, "doc_id", "left").select("doc_id", "cell", "mask", "words"))
 
     # words on the seeds: how often in documents of each subject
-    taught = checkpointed(words_of_cells(docs.join(sent, "doc_id", "left_semi")).select("doc_id", "cell", hashed.alias("words")).join(sent, "doc_id"))
+    taught = whole.where("mask is not null")
     labelled = sum(_bits(F.col("mask"), k).cast("int") for k in range(g.n))
     part = [F.when(_bits(F.col("mask"), k), 1.0 / F.greatest(labelled, F.lit(1))).otherwise(0.0) for k in range(g.n)]
     prior = seeds.agg(*[(F.coalesce(F.sum(x), F.lit(0.0)) / max(n_seeds, 1)).alias(p) for x, p in zip(part, g.p)]).first()
     prior_of = F.element_at(F.array(*[F.lit(float(prior[p])) for p in g.p]), F.col("subject") + 1)
     uses = taught.select("doc_id", "mask", F.explode("words").alias("word")).distinct()
-    stats = uses.groupBy("word").agg(F.count(F.lit(1)).alias("uses"), *[F.sum(x).alias(p) for x, p in zip(part, g.p)])
+    stats = checkpointed(uses.groupBy("word").agg(F.count(F.lit(1)).alias("uses"), *[F.sum(x).alias(p) for x, p in zip(part, g.p)]))
     links = g.long(stats, ["word", "uses"], {"found": g.p}).withColumn("weight", F.col("found") / F.col("uses"))
     good = (F.col("uses") >= 3) & (F.col("weight") >= SHARE) & _significant(F.col("found"), F.col("uses"), prior_of)
     links = checkpointed(links.where(good).select("word", "subject", "weight", F.lit(False).alias("mark")))
@@ -166,19 +204,22 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     marks = marks.where((F.col("off") >= 3) & (F.col("off") >= 0.5 * F.col("all")) & _significant(F.col("off"), F.col("all"), usual))
     marks = checkpointed(marks.select("word", "subject", F.lit(0.0).alias("weight"), F.lit(True).alias("mark")))
 
+    # trusted are the seeds whose cells bear out just their labels
+    seen_in = g.judged(g.cell_shares(taught, _sized(checkpointed(links.unionByName(marks))))).groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("subject"))).alias("found"))
+    trusted = seeds.join(seen_in, "doc_id", "left").where(F.coalesce("found", F.lit(0)) == F.col("mask")).select("doc_id", "mask")
+    trusted = checkpointed(trusted)
+
     # words that the seeds show to bear no subject link nothing; marks stay
-    idle = stats.where(F.col("uses") >= SEEN).select("word").join(links.select("word").union(marks.select("word")), "word", "left_anti")
-    idle = checkpointed(idle)
-    seen = checkpointed(stats.where(F.col("uses") >= SEEN).select("word", F.lit(True).alias("seen")))
-    every = words_of_cells(docs).select("doc_id", "cell", F.explode(hashed).alias("word")).join(_sized(idle), "word", "left_anti")
-    every = every.groupBy("doc_id", "cell").agg(F.collect_list("word").alias("words"))  # the words of a cell are in one task already
-    every = checkpointed(every.join(sent, "doc_id", "left").select("doc_id", "cell", "mask", "words"))
+    often = stats.where(F.col("uses") >= SEEN).select("word")
+    idle = checkpointed(often.join(links.select("word").union(marks.select("word")), "word", "left_anti"))
+    seen = checkpointed(often.withColumn("seen", F.lit(True)))
+    every = _without(whole, idle).drop("mask").join(F.broadcast(trusted), "doc_id", "left")
+    every = checkpointed(every.select("doc_id", "cell", "mask", "words"))
     n_cells = max(every.count(), 1)
 
-    weights = links
-    for _ in range(ITERATIONS):
-        shares = g.cell_shares(every, _sized(checkpointed(weights.unionByName(marks)))).select("cell", *[g.clamped(k).alias(p) for k, p in enumerate(g.p)])
-        shares = checkpointed(shares)
+    weights, before = links, None
+    for _ in range(passes):
+        shares = checkpointed(g.clamped(g.cell_shares(every, _sized(checkpointed(weights.unionByName(marks))))).select("cell", *g.p))
         mean = shares.agg(*[(F.coalesce(F.sum(p), F.lit(0.0)) / n_cells).alias(p) for p in g.p]).first()
         mean_of = F.element_at(F.array(*[F.lit(float(mean[p])) for p in g.p]), F.col("subject") + 1)
         told = every.select("cell", "words").join(shares, "cell", "left").select(F.explode("words").alias("word"), *g.p)
@@ -188,12 +229,13 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
         # a word that the seeds have shown often needs a link there; others need a larger share
         found = found.join(_sized(seen), "word", "left").join(links.select("word").distinct().withColumn("linked", F.lit(True)), "word", "left")
         found = found.where(F.when(F.col("seen"), F.col("linked")).otherwise(F.col("weight") >= SHARE_UNSEEN))
-        weights = checkpointed(found.select("word", "subject", "weight", F.lit(False).alias("mark")))
-    final = g.cell_shares(every, _sized(checkpointed(weights.unionByName(marks))))
-    mass = final.groupBy("doc_id").agg(*[F.sum(p).alias(p) for p in g.p])
-    whole = sum([F.col(p) for p in g.p[1:]], F.col(g.p[0]))
-    mass = mass.withColumn("whole", whole).withColumn("most", F.greatest(*[F.col(p) for p in g.p], F.lit(0.0), F.lit(0.0)))
-    enough = F.when(F.col("n_cells") < F.col("most"), LEAST_CELLS_BESIDE).otherwise(LEAST_CELLS)
-    rows = g.long(mass, ["doc_id", "whole", "most"], {"n_cells": g.p}).where((F.col("n_cells") >= enough) & (F.col("n_cells") >= LEAST_SHARE * F.col("whole")))
+        before, weights = weights, checkpointed(found.select("word", "subject", "weight", F.lit(False).alias("mark")))
+        same = weights.join(before, ["word", "subject"], "left_semi").count()
+        if max(weights.count(), before.count()) - same <= SETTLED * max(same, 1):
+            break
+    final = g.clamped(g.cell_shares(every, _sized(checkpointed(weights.unionByName(marks)))))
+    rows = g.judged(final.where("mask is null")).select("doc_id", "subject", "n_cells")
+    fixed = g.long(final.where("mask is not null").groupBy("doc_id", "mask").agg(*[F.sum(p).alias(p) for p in g.p]), ["doc_id", "mask"], {"n_cells": g.p})
+    fixed = fixed.where(F.call_function("shiftright", F.col("mask"), F.col("subject")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "subject", "n_cells")
     subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("subject") + 1)
-    return rows.select("doc_id", subject.alias("subject"), "n_cells")
+    return rows.unionByName(fixed).select("doc_id", subject.alias("subject"), "n_cells")
