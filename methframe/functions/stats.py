@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from methframe.session import shipped
+
 _SMALL = 16
 _FACTORIALS = np.array([math.lgamma(k + 1) for k in range(_SMALL)])
 #: Tables whose log probability is within this of the observed one are as likely.
@@ -97,6 +99,7 @@ def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """``fisher_p`` of counts; null where one is null or negative."""
+    shipped()
     return F.pandas_udf(_fisher, "double")(*(x.cast("bigint") for x in (a, b, c, d)))
 
 
@@ -145,4 +148,5 @@ def _above(mc: pd.Series, cov: pd.Series, p: pd.Series) -> pd.Series:
 
 def binomial_tail(mc: Column, cov: Column, p: Column) -> Column:
     """``binomial_above`` of counts; null where one is null or p isn't strictly between 0 and 1."""
+    shipped()
     return F.pandas_udf(_above, "double")(mc.cast("bigint"), cov.cast("bigint"), p)

@@ -20,6 +20,12 @@ def align(ref: DataFrame, sites: DataFrame, fill: int = 0) -> DataFrame:
     return ref.join(sites.select(*KEYS, "mc", "cov"), KEYS, "left").fillna(fill, ["mc", "cov"])
 
 
+def align_cells(ref: DataFrame, sites: DataFrame, by: str = "cell_id", fill: int = 0) -> DataFrame:
+    """``align`` for every value of ``by`` (null is none): all sites of the axis, with each cell's counts or ``fill``. The names, one per cell, travel with the axis."""
+    names = sites.where(F.col(by).isNotNull()).agg(F.collect_set(by)).scalar()
+    return ref.withColumn(by, F.explode(names)).join(sites.select(by, *KEYS, "mc", "cov"), [by, *KEYS], "left").fillna(fill, ["mc", "cov"])
+
+
 def union_tables(tables: dict[str, DataFrame], key_added: str = "cell_id") -> DataFrame:
     """All rows of all tables, each with the name of its table in ``key_added``; columns go by name, and must be the same."""
     return reduce(DataFrame.unionByName, [df.withColumn(key_added, F.lit(name)) for name, df in tables.items()])

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methframe.functions.stats import fisher_two_sided
 from methframe.operators.intervals import number_stretches
 from methframe.operators.merge import bin_sums
-from methframe.operators.ranged import part_id, ranged
-from methframe.session import checkpointed
+from methframe.operators.ranged import changes, part_id, ranged
+from methframe.session import checkpointed, shipped
 
 #: The defaults of both callers.
 CG = {"p": 1e-3, "delta": 0.2, "min_cov": 1, "min_samples": 1, "max_dist": 250, "min_dms": 1, "permutations": 3000, "min_p": 0.01, "max_row": 50, "max_total": 3000}
@@ -72,16 +73,18 @@ def eligible(cells: DataFrame, min_cov: int, min_samples: int, keys: list[str])
 def permutation_test(sites: DataFrame, keys: list[str], how: dict, seed: int = 7) -> DataFrame:
     """keys, rate_a, rate_b, p, delta for sites with a list ``cells``; the seed of a site comes from its keys, so partitions don't matter."""
 
+    shipped()
+
     @F.pandas_udf("p double, delta double")
-    def test(cells: pd.Series, at: pd.Series) -> pd.DataFrame:
+    def test(in_a: pd.Series, mc: pd.Series, cov: pd.Series, at: pd.Series) -> pd.DataFrame:
         out = []
-        for rows, key in zip(cells, at):
-            t = np.array([(r["in_a"], r["mc"], r["cov"]) for r in rows], dtype=np.int64)
-            t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 0]))]  # a list's order may vary between runs
-            out.append(rms_test(t[:, 1], t[:, 2], t[:, 0] == 1, int(key) & 0x7FFFFFFF, how["permutations"], how["min_p"], how["max_row"], how["max_total"]))
+        for a, m, c, key in zip(in_a, mc, cov, at):
+            order = np.lexsort((c, m, a))  # a list's order may vary between runs
+            out.append(rms_test(m[order], c[order], a[order] == 1, int(key) & 0x7FFFFFFF, how["permutations"], how["min_p"], how["max_row"], how["max_total"]))
         return pd.DataFrame(out, columns=["p", "delta"])
 
-    tested = sites.withColumn("t", test("cells", F.xxhash64(F.lit(seed), *keys)))
+    lists = [F.col("cells.in_a").cast("array<bigint>"), F.col("cells.mc").cast("array<bigint>"), F.col("cells.cov").cast("array<bigint>")]
+    tested = sites.withColumn("t", test(*lists, F.xxhash64(F.lit(seed), *keys)))
     return tested.select(*keys, "rate_a", "rate_b", F.col("t.p").alias("p"), F.col("t.delta").alias("delta"))
 
 
@@ -100,23 +103,79 @@ def fisher_sites(a: DataFrame, b: DataFrame, min_cov: int = 1) -> DataFrame:
     return both.select("chrom", "pos", p.alias("p"), delta.alias("delta"))
 
 
+def _pieces(rows: DataFrame, by: list[str], max_dist: int) -> DataFrame:
+    """Per range partition the regions of its sites; ``open`` are those that a neighbouring partition may continue, at most three.
+
+    A leading run of zero differences stands apart, since it belongs to the region before it, if there is one. ``apart``: surely no part of what precedes it.
+    """
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    n = len(by)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, pos, p, delta = b.columns[:n], *(b.column(n + i).to_numpy(zero_copy_only=False).astype(k) for i, k in enumerate((np.int64, float, float)))
+            sign = np.sign(delta)
+            new = changes(keys)
+            head = np.flatnonzero(np.r_[True, new | (np.diff(pos) > max_dist) | (sign[1:] != sign[:-1])])
+            here = [k[0].as_py() for k in keys]
+            fresh = np.r_[last is None or here != last, new][head]
+            last = [k[b.num_rows - 1].as_py() for k in keys]
+            ends = np.r_[head[1:], len(pos)]
+            runs.append((pa.Table.from_arrays([k.take(pa.array(head)) for k in keys], names=by), fresh, pos[head], pos[ends - 1], ends - head, np.fmin.reduceat(p, head), np.add.reduceat(delta, head), sign[head]))
+        if not runs:
+            return
+        keys = pa.concat_tables([r[0] for r in runs])
+        fresh, first, end, size, p, total, sign = (np.concatenate([r[i] for r in runs]) for i in range(1, 8))
+        i = np.arange(len(first))
+        gap = np.r_[True, fresh[1:] | (first[1:] - end[:-1] > max_dist)]
+        start = np.maximum.accumulate(np.where(gap, i, 0))
+        signed = np.r_[-1, np.maximum.accumulate(np.where(sign != 0, i, -1))[:-1]]  # the last run before with a sign
+        flip = (sign != 0) & (signed >= start) & (sign[np.maximum(signed, 0)] != sign)
+        # zeros at the very start, and what follows them
+        lead = sign[0] == 0
+        signs = np.flatnonzero(sign != 0)
+        after = int(signs[0]) if lead and len(signs) and start[signs[0]] == 0 else 0
+        head = np.flatnonzero(gap | flip | ((i == after) & (after > 0)))
+        opened = np.zeros(len(head), bool)
+        opened[[0, -1]] = True
+        if after:
+            opened[np.searchsorted(head, after)] = True
+        apart = np.zeros(len(head), bool)
+        apart[-1] = len(head) > 1 and head[-1] != after
+        of = np.add.reduceat(sign, head)  # the signs of a region's runs are one sign and zeros
+        yield pa.RecordBatch.from_arrays(
+            [*(c.combine_chunks() for c in keys.take(pa.array(head)).columns), pa.array(first[head]), pa.array(np.maximum.reduceat(end, head)), pa.array(np.add.reduceat(size, head)), pa.array(np.fmin.reduceat(p, head)), pa.array(np.add.reduceat(total, head)),
+             pa.array(np.where(np.abs(of) > 0, np.sign(of), 0.0)), pa.array(opened), pa.array(apart)],
+            [*by, "first", "last", "n", "p", "total", "sign", "open", "apart"],
+        )
+
+    rows = ranged(rows.select(*by, "pos", F.col("p").cast("double").alias("p"), F.col("delta").cast("double").alias("delta")).where("pos is not null and delta is not null and not isnan(delta)"), by, "pos")
+    return checkpointed(rows.mapInArrow(fold, f"{kinds}, first bigint, last bigint, n bigint, p double, total double, sign double, open boolean, apart boolean"))
+
+
 def merge_sites(dms: DataFrame, max_dist: int, min_dms: int = 1, keys: list[str] | None = None) -> DataFrame:
     """Regions of called sites (chrom, pos, p, delta): a new one where the step exceeds ``max_dist`` or the sign flips; a zero does neither.
 
-    keys, chrom, start_pos (first pos - 1), end_pos, n_dms, p_min, frac_delta_mean, state (hyper above zero, else hypo).
-    Called sites are few: a chromosome's fit one window.
+    keys, chrom, start_pos (first pos - 1), end_pos, n_dms, p_min, frac_delta_mean, state (hyper above zero, else hypo). Rows without a position or a difference are left
+    out. Range partitions find their regions; those at their ends are stitched, so no task holds a chromosome.
     """
     by = [*(keys or []), "chrom"]
-    order = Window.partitionBy(*by).orderBy("pos")
-    step = F.col("pos") - F.lag("pos").over(order)
-    rows = dms.withColumn("_g", F.sum(F.when(step.isNull() | (step > max_dist), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sign = F.signum("delta")
-    near = Window.partitionBy(*by, "_g").orderBy("pos")
-    known = F.last(F.nullif(sign, F.lit(0.0)), ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_known", known).withColumn("_flip", F.when((sign != 0) & (F.col("_known") != sign), 1).otherwise(0))
+    pieces = _pieces(dms, by, max_dist)
+    order = Window.partitionBy(*by).orderBy("first")  # over the open pieces, at most three a partition
+    step = F.col("first") - F.lag("last").over(order)
+    rows = pieces.where("open").withColumn("_g", F.sum(F.when(step.isNull() | (step > max_dist) | F.col("apart"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy(*by, "_g").orderBy("first")
+    known = F.last(F.nullif("sign", F.lit(0.0)), ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_known", known).withColumn("_flip", F.when((F.col("sign") != 0) & (F.col("_known") != F.col("sign")), 1).otherwise(0))
     rows = rows.withColumn("_s", F.sum("_flip").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*by, "_g", "_s").agg((F.min("pos") - 1).alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n_dms"), F.min("p").alias("p_min"), F.avg("delta").alias("frac_delta_mean"))
-    return out.where(F.col("n_dms") >= min_dms).select(*by, "start_pos", "end_pos", "n_dms", "p_min", "frac_delta_mean", F.when(F.col("frac_delta_mean") > 0, "hyper").otherwise("hypo").alias("state"))
+    told = ["first", "last", "n", "p", "total"]
+    joined = rows.groupBy(*by, "_g", "_s").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min("p").alias("p"), F.sum("total").alias("total"))
+    out = pieces.where("not open").select(*by, *told).unionByName(joined.select(*by, *told)).where(F.col("n") >= min_dms)
+    mean = F.col("total") / F.col("n")
+    return out.select(*by, (F.col("first") - 1).alias("start_pos"), F.col("last").alias("end_pos"), F.col("n").alias("n_dms"), F.nanvl("p", F.lit(None)).alias("p_min"), mean.alias("frac_delta_mean"), F.when(mean > 0, "hyper").otherwise("hypo").alias("state"))
 
 
 def call_dmr(cells: DataFrame, **options: float) -> DataFrame:
@@ -184,6 +243,14 @@ def _against_rest(samples: DataFrame, by: str, within: list[str], how: dict) ->
     return one.withColumn("rate_a", rate(True)).withColumn("rate_b", rate(False))
 
 
+def vs_rest_tests(rows: DataFrame, by: str, group: list[str] | None = None, size: DataFrame | None = None, **options: float) -> DataFrame:
+    """What is tested of each sample against the separate others: rows as ``_against_rest`` has them, where the groups' mean rates differ enough."""
+    how, group = CG | options, group or []
+    samples = rows.groupBy(*group, by, "chrom", "pos").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
+    samples = samples.withColumn("n_samples", F.lit(None).cast("bigint")) if size is None else samples.join(size, group) if group else samples.crossJoin(size)  # one row
+    return prefilter(_against_rest(samples, by, group, how), how["delta"])
+
+
 def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, method: str = "cg", min_class_size: int = 2, **options: float) -> DataFrame:
     """Regions in which a sample differs from all others (of its class, the column ``within``), which stay separate samples; one job for all.
 
@@ -201,8 +268,7 @@ def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, m
     sized = lambda df: df.join(size, group) if group else df.crossJoin(size)
     keys = [*group, by, "chrom", "pos"]
     if method == "cg":
-        samples = sized(rows.groupBy(*keys).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov")))
-        tests = prefilter(_against_rest(samples, by, group, how), how["delta"])
+        tests = vs_rest_tests(rows, by, group, size, **how)
         alone = lambda a, c: F.filter("cells", lambda x: x["in_a"] == a)[0][c]
         exact = fisher_two_sided(alone(True, "mc"), alone(True, "cov") - alone(True, "mc"), alone(False, "mc"), alone(False, "cov") - alone(False, "mc"))
         pairs = tests.where("n_samples = 2 and rate_a is not null and rate_b is not null").select(*keys, exact.alias("p"), (F.col("rate_a") - F.col("rate_b")).alias("delta"))
@@ -271,10 +337,18 @@ def _local_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def merged_results(calls: DataFrame) -> DataFrame:
-    """All samples' regions with length, region_id, direction (hypo below zero, else hyper) and q_min within (cell_class, sname)."""
+    """All samples' regions with length, region_id, direction (hypo below zero, else hyper) and q_min within (cell_class, sname).
+
+    Where the calls have rate_a and rate_b also delta_rate and log2fc (null unless both are positive), and otherwise delta_meth, the mean difference of the fractions.
+    """
     out = calls.withColumn("length", F.col("end_pos") - F.col("start_pos"))
     region = F.concat(F.col("chrom"), F.lit(":"), F.col("start_pos").cast("string"), F.lit("-"), F.col("end_pos").cast("string"))
     out = out.withColumn("region_id", region).withColumn("direction", F.when(F.col("frac_delta_mean") < 0, "hypo").otherwise("hyper"))
+    if {"rate_a", "rate_b"} <= set(calls.columns):
+        a, b = F.col("rate_a"), F.col("rate_b")
+        out = out.withColumn("delta_rate", a - b).withColumn("log2fc", F.when((a > 0) & (b > 0), F.log2(a / b)))
+    else:
+        out = out.withColumn("delta_meth", F.col("frac_delta_mean"))
     return bh_fdr(out, "p_min", ["cell_class", "sname"], "q_min")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methframe.functions.numbers import fraction
 from methframe.functions.stats import binomial_tail
 from methframe.operators.intervals import stretches_and_gaps
+from methframe.operators.ranged import numbered
 from methframe.operators.region import overlaps_any, sites_in_regions
 
 #: Fixed value: keeps the rate of a cell without coverage at 0.
@@ -21,9 +22,10 @@ def named(features: DataFrame) -> DataFrame:
 
 
 def unique_names(features: DataFrame) -> DataFrame:
-    order = Window.partitionBy("name").orderBy("chrom", "start_pos", "end_pos")
+    """``features`` with a count from 0 after every name, by position, if any name repeats; a name that holds most rows is no single task."""
     repeated = features.groupBy("name").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)) > 1).scalar()
-    return features.withColumn("name", F.when(repeated, F.concat(F.col("name"), F.lit("_"), (F.row_number().over(order) - 1).cast("string"))).otherwise(F.col("name")))
+    out = numbered(features, ["name"], ["chrom", "start_pos", "end_pos"], "_n")
+    return out.withColumn("name", F.when(repeated, F.concat(F.col("name"), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col("name"))).drop("_n")
 
 
 def parse_gtf(lines: DataFrame, feature: str = "gene", flank: int = 0, exclude: list[str] | None = None) -> DataFrame:
@@ -36,8 +38,9 @@ def parse_gtf(lines: DataFrame, feature: str = "gene", flank: int = 0, exclude:
     parsed = parsed.where(F.col("feature") == feature)
     if exclude:
         parsed = parsed.where(~F.col("chrom").isin(exclude))
-    order = Window.partitionBy("name").orderBy(F.desc(F.col("e") - F.col("s")), "ord")
-    first = parsed.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    # the longest, then the first: an aggregate, combined before the shuffle
+    rank, rest = F.struct((F.col("s") - F.col("e")).alias("length"), "ord"), F.struct("chrom", "s", "e", "strand", "gene_id", "gene_type")
+    first = parsed.groupBy("name").agg(F.min_by(rest, rank).alias("r")).select("name", "r.*")
     return first.select("name", "chrom", F.greatest(F.col("s") - flank, F.lit(0)).alias("start_pos"), (F.col("e") + flank).alias("end_pos"), "strand", "gene_id", "gene_type")
 
 

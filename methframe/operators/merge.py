@@ -26,6 +26,20 @@ def pseudobulk_mean(sites: DataFrame) -> DataFrame:
     return total.join(cells, "chrom").select("chrom", "pos", *[(F.col(c) / F.col("n")).alias(c) for c in COUNTS])
 
 
+def pseudobulk_as(sites: DataFrame, how: dict[str, list[str]], by: list[str] | None = None) -> DataFrame:
+    """Several aggregates per column, such as {"mc": ["sum", "mean"], "cov": ["sum"]}, per site and per the columns ``by``: <column>_<aggregate>.
+
+    A mean divides by the cells, of the class, that have the site's chromosome at all. Null is a class.
+    """
+    by = by or []
+    total = sites.groupBy(*by, "chrom", "pos").agg(*[F.sum(c).alias(c) for c in how])
+    cells = sites.select(*by, "cell_id", "chrom").distinct().groupBy(*by, "chrom").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumnsRenamed({c: f"_{c}" for c in [*by, "chrom"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "chrom"]]
+    value = {"sum": lambda c: F.col(c), "mean": lambda c: F.col(c) / F.col("_n")}
+    return total.join(cells, same).select(*by, "chrom", "pos", *[value[a](c).alias(f"{c}_{a}") for c, asked in how.items() for a in asked])
+
+
 def merge_strands(sites: DataFrame, code: str = "I") -> DataFrame:
     """CG sites with the counts of both strands at the forward position; unpaired sites stay. ``sites`` has strand and context."""
     cg = sites.where(F.upper(F.substring("context", 1, 2)) == "CG")

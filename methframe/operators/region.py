@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from methframe.operators.ranged import numbered
+
 #: Regions up to this many rows, after binning, are broadcast (three numbers and two short strings each: under 64 MB).
 MAX_BROADCAST_ROWS = 500_000
 
@@ -77,8 +79,5 @@ def overlaps_any(intervals: DataFrame, others: DataFrame, cols: tuple[str, str]
 
 
 def with_site_id(ref: DataFrame) -> DataFrame:
-    """``ref`` with site_id: the number of a site on its chromosome, from 1, by position.
-
-    A fixed axis: one window per chromosome. For axes too long for that, rank with operators.ranged.
-    """
-    return ref.withColumn("site_id", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")).cast("bigint"))
+    """``ref`` with site_id: the number of a site on its chromosome, from 1, by position; ranked in range partitions."""
+    return numbered(ref, ["chrom"], ["pos"], "site_id").withColumn("site_id", F.col("site_id") + 1)

@@ -16,8 +16,9 @@ from methframe.sources import store, text
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: The regions of the query examples.
-CHROM, LOW, HIGH = "chr9", 3_200_000, 3_900_000
+#: The windows of the query examples, on sites and on intervals; both have rows in tables of any size.
+CHROM, LOW, HIGH = "chr19", 3_200_000, 3_900_000
+CALLS_LOW, CALLS_HIGH = 1_000_000, 2_200_000
 BIN = 10_000
 TILE = 50_000
 CLASSES = ["Astro", "Exc_L2", "Exc_L5", "Inh_Pv", "Inh_Sst", "Micro", "Oligo"]
@@ -52,7 +53,7 @@ def summary_chunks(spark, d):
 
 @query("select cell_id, s.chrom, s.pos, strand, context, mc, cov, site_id from sites s join ref r on s.chrom = r.chrom and s.pos = r.pos")
 def view_ref_join(spark, d):
-    return align.with_reference(v.sites(spark, d), v.reference(spark, d)).select("cell_id", "chrom", "pos", "strand", "context", "mc", "cov", "site_id")
+    return align.with_reference(v.sites(spark, d), v.reference(spark, d, ids=True)).select("cell_id", "chrom", "pos", "strand", "context", "mc", "cov", "site_id")
 
 
 @query("select cell_id, chrom, pos, cast(least(mc, 255) as smallint) as mc, cast(least(cov, 255) as smallint) as cov from sites")
@@ -73,9 +74,9 @@ def region_query(spark, d):
     return region.region(v.sites(spark, d), CHROM, LOW, HIGH)
 
 
-@query("select * from sites where cell_id = 'cell_0000001' and chrom = 'chr9'")
+@query("select * from sites where cell_id = 'pool_ctrl' and chrom = 'chr19'")
 def region_query_dims(spark, d):
-    return v.sites(spark, d).where((F.col("cell_id") == "cell_0000001") & (F.col("chrom") == CHROM))
+    return v.sites(spark, d).where((F.col("cell_id") == "pool_ctrl") & (F.col("chrom") == CHROM))
 
 
 @query("select r.name as region_idx, s.cell_id, s.chrom, s.pos, s.mc, s.cov from sites s join regions r on s.chrom = r.chrom and s.pos between r.start_pos and r.end_pos")
@@ -84,9 +85,9 @@ def region_query_multi(spark, d):
     return region.regions_query(v.sites(spark, d), wanted).select("region_idx", "cell_id", "chrom", "pos", "mc", "cov")
 
 
-@query(f"select * from regions where chrom = '{CHROM}' and start_pos >= {LOW} and end_pos <= {HIGH}")
+@query(f"select * from regions where chrom = '{CHROM}' and start_pos >= {CALLS_LOW} and end_pos <= {CALLS_HIGH}")
 def region_query_contained(spark, d):
-    return region.contained(v.regions(spark, d), CHROM, LOW, HIGH, ("start_pos", "end_pos"))
+    return region.contained(v.regions(spark, d), CHROM, CALLS_LOW, CALLS_HIGH, ("start_pos", "end_pos"))
 
 
 @query("select r.name as region_idx, count(b.pos) as n_records, cast(coalesce(sum(b.mc), 0) as bigint) as sum_mc from regions r left join bulk b on b.chrom = r.chrom and b.pos between r.start_pos and r.end_pos group by r.name")
@@ -103,7 +104,7 @@ def query_with_reference(spark, d):
 
 def _context(name: str, pattern: str, where: str) -> None:
     def run(spark, d):
-        return index.context_index(v.reference(spark, d), pattern)
+        return index.context_index(v.reference(spark, d, ids=True), pattern)
 
     run.__name__ = name
     query(f"select chrom, site_id from ref where {where}")(run)
@@ -117,19 +118,19 @@ _context("context_rev_cg", "-CGN", "substr(context, 1, 2) = 'CG' and strand = '-
 
 @query("select g.name, g.chrom, min(site_id) as id_start, max(site_id) as id_end from regions g join ref r on r.chrom = g.chrom and r.pos >= g.start_pos and r.pos < g.end_pos group by g.name, g.chrom")
 def index_regions(spark, d):
-    return index.region_index(v.reference(spark, d), v.regions(spark, d))
+    return index.region_index(v.reference(spark, d, ids=True), v.regions(spark, d))
 
 
 @query("select s.cell_id, s.chrom, s.pos, s.mc, s.cov from sites s join ref r on s.chrom = r.chrom and s.pos = r.pos where substr(context, 1, 2) = 'CG'")
 def subset_by_index(spark, d):
-    ref = v.reference(spark, d)
+    ref = v.reference(spark, d, ids=True)
     rows = align.with_reference(v.sites(spark, d), ref)
     return index.subset(rows, index.context_index(ref, "CGN")).select("cell_id", "chrom", "pos", "mc", "cov")
 
 
 @query("select g.name, r.chrom, r.pos, r.site_id, r.context from regions g join ref r on r.chrom = g.chrom and r.pos >= g.start_pos and r.pos < g.end_pos")
 def subset_by_regions(spark, d):
-    ref = v.reference(spark, d)
+    ref = v.reference(spark, d, ids=True)
     return index.subset_ranges(ref, index.region_index(ref, v.regions(spark, d))).select("name", "chrom", "pos", "site_id", "context")
 
 
@@ -138,7 +139,13 @@ def subset_by_regions(spark, d):
 
 @query("select r.chrom, r.pos, r.strand, r.context, r.site_id, coalesce(b.mc, 0) as mc, coalesce(b.cov, 0) as cov from ref r left join bulk b on b.chrom = r.chrom and b.pos = r.pos")
 def align_left_fill(spark, d):
-    return align.align(v.reference(spark, d), _bulk(spark, d))
+    return align.align(v.reference(spark, d, ids=True), _bulk(spark, d))
+
+
+@query("select c.cell_id, r.chrom, r.pos, r.strand, r.context, coalesce(s.mc, 0) as mc, coalesce(s.cov, 0) as cov from (select distinct cell_id from sites where chrom = 'chr19') c cross join ref r left join sites s on s.cell_id = c.cell_id and s.chrom = r.chrom and s.pos = r.pos where r.chrom = 'chr19'")
+def align_every_cell(spark, d):
+    """One chromosome's axis, filled for each of its cells."""
+    return align.align_cells(v.reference(spark, d).where(F.col("chrom") == CHROM), v.sites(spark, d).where(F.col("chrom") == CHROM))
 
 
 @query("""select coalesce(a.chrom, b.chrom) as chrom, coalesce(a.pos, b.pos) as pos, case when a.chrom is null then 'right' when b.chrom is null then 'left' else 'both' end as side,
@@ -173,6 +180,13 @@ def pseudobulk_by_class(spark, d):
     return merge.pseudobulk(v.sites(spark, d).join(v.cells(spark, d), "cell_id"), ["cell_class"])
 
 
+@query("select cell_class, b.chrom, pos, mc as mc_sum, round(mc / n, 6) as mc_mean, round(cov / n, 6) as cov_mean from (select cell_class, chrom, pos, cast(sum(mc) as bigint) as mc, sum(cov) as cov from sites join cells using (cell_id) group by all) b "
+       "join (select cell_class as k, chrom, count(distinct cell_id) as n from sites join cells using (cell_id) group by all) c on c.chrom = b.chrom and c.k is not distinct from b.cell_class")
+def pseudobulk_per_column(spark, d):
+    out = merge.pseudobulk_as(v.sites(spark, d).join(v.cells(spark, d), "cell_id"), {"mc": ["sum", "mean"], "cov": ["mean"]}, ["cell_class"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mc_mean", "cov_mean")})
+
+
 @query("select g.name, cast(coalesce(sum(mc), 0) as bigint) as mc, cast(coalesce(sum(cov), 0) as bigint) as cov from regions g left join bulk b on b.chrom = g.chrom and b.pos >= g.start_pos and b.pos < g.end_pos group by g.name")
 def region_aggregate(spark, d):
     return index.region_sums(_bulk(spark, d), v.regions(spark, d), "q")
@@ -441,6 +455,15 @@ def dmr_one_vs_rest_samples(spark, d):
     return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d)), "sname", p=0.05)
 
 
+@query(""", per as (select sname, chrom, pos, sum(mc) / sum(cov) as f from sites join cells using (cell_id) group by all having sum(cov) > 0),
+r as (select *, sum(f) over w - f as others, count(*) over w - 1 as n from per window w as (partition by chrom, pos))
+select sname, chrom, pos, round(f, 6) as rate_a, round(others / n, 6) as rate_b from r where n >= 1 and abs(f - others / n) >= 0.2000001""")
+def vs_rest_prefilter(spark, d):
+    """The sites and rates that the one-vs-rest caller tests: each sample against the others, which stay separate samples."""
+    out = dmr.vs_rest_tests(_with_cells(spark, d, v.sites(spark, d)), "sname", delta=0.2000001)
+    return out.select("sname", "chrom", "pos", F.round("rate_a", 6).alias("rate_a"), F.round("rate_b", 6).alias("rate_b"))
+
+
 @query()
 def dmr_one_vs_rest_class(spark, d):
     return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d)), "sname", "cell_class", p=0.05)
@@ -449,7 +472,7 @@ def dmr_one_vs_rest_class(spark, d):
 @query()
 def dmr_one_vs_rest_ch(spark, d):
     ch = v.reference(spark, d).where("context not like 'CG%'").select("chrom", "pos")
-    return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d).join(ch, ["chrom", "pos"], "left_semi")), "sname", method="ch", p=0.05, min_samples=1)
+    return dmr.call_dmr_one_vs_rest(_with_cells(spark, d, v.sites(spark, d).join(ch, ["chrom", "pos"], "left_semi")), "sname", method="ch", p=0.05, log2fc=0.5, min_samples=1, min_dms=1)
 
 
 @query("""select chrom, pos, n_a, n_b, round(rate_a, 6) as rate_a, round(rate_b, 6) as rate_b from (
@@ -472,7 +495,7 @@ def _ch(spark, d):
 
 @query()
 def dmr_ch(spark, d):
-    return dmr.call_dmr_ch(_ch(spark, d), p=0.05)
+    return dmr.call_dmr_ch(_ch(spark, d), p=0.05, log2fc=0.5, min_dms=1)
 
 
 @query(f""", b as (select cell_id, chrom, (pos - 1) // {BIN} * {BIN} + 1 as bin_start, cast(sum(mc) as bigint) as mc, cast(sum(cov) as bigint) as cov from sites group by all),
@@ -502,9 +525,9 @@ def bh_fdr(spark, d):
     return dmr.bh_fdr(v.calls(spark, d), "p_min", ["cell_class", "sname"]).select("dmr_id", F.round("q", 9).alias("q"))
 
 
-@query(f", {_Q} select c.dmr_id, end_pos - start_pos as length, chrom || ':' || start_pos || '-' || end_pos as region_id, case when frac_delta_mean < 0 then 'hypo' else 'hyper' end as direction, round(q, 9) as q_min from dmr_calls c left join qv on qv.dmr_id = c.dmr_id")
+@query(f", {_Q} select c.dmr_id, end_pos - start_pos as length, frac_delta_mean as delta_meth, chrom || ':' || start_pos || '-' || end_pos as region_id, case when frac_delta_mean < 0 then 'hypo' else 'hyper' end as direction, round(q, 9) as q_min from dmr_calls c left join qv on qv.dmr_id = c.dmr_id")
 def merge_dmr(spark, d):
-    return dmr.merged_results(v.calls(spark, d)).select("dmr_id", "length", "region_id", "direction", F.round("q_min", 9).alias("q_min"))
+    return dmr.merged_results(v.calls(spark, d)).select("dmr_id", "length", "delta_meth", "region_id", "direction", F.round("q_min", 9).alias("q_min"))
 
 
 @query("""

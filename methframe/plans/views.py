@@ -18,10 +18,11 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("cell_id", "chrom", "pos").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
 
 
-def reference(spark: SparkSession, d: str) -> DataFrame:
-    """chrom, pos, strand, context, site_id of the sites that still stand, each once."""
+def reference(spark: SparkSession, d: str, ids: bool = False) -> DataFrame:
+    """chrom, pos, strand, context of the sites that still stand, each once, with site_id if ``ids``."""
     rows = table(spark, d, "ref_sites").where("removed_at is null and chrom is not null and pos is not null")
-    return with_site_id(rows.groupBy("chrom", "pos").agg(F.min("strand").alias("strand"), F.min("context").alias("context")))
+    rows = rows.groupBy("chrom", "pos").agg(F.min("strand").alias("strand"), F.min("context").alias("context"))
+    return with_site_id(rows) if ids else rows
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers that can't import it from where they run; once a context."""
+    """Give the package to Python workers that can't import it from where they run; once a context. Whatever sends Python code to workers calls this."""
     sc = spark.sparkContext
     if getattr(sc, "_methframe_shipped", False):
         return
@@ -46,18 +46,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped() -> None:
+    """``ship`` for expressions, which know no session."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+
+
 def partitions_of(spark: SparkSession) -> int:
+    ship(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-    temporary folder is used. ``localCheckpoint`` is never used: its single copy dies with an executor.
+    The folder is the one in ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine, as in tests, a
+    temporary folder is used; elsewhere that is an error. ``localCheckpoint`` is never used: its single copy dies with an executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
+    ship(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="methframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="methframe-"))
     return df.checkpoint()

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from methframe.session import ship
 from methframe.sources.text import cytosines
 
 #: Fixed values of the format: operations, the letters of packed sequences, and the flags of reads that don't count
@@ -23,17 +24,33 @@ READ = "file string, name string, flag int, chrom string, start int, mapq int, r
 
 
 def inflate(data: bytes) -> bytes:
-    """All blocks of a BGZF file."""
-    out, at = [], 0
+    """All blocks of a BGZF file, each read by the size in its header; plain gzip members, which have none, are inflated one after the other."""
+    view, out, at = memoryview(data), [], 0
     while at < len(data):
+        size = _block_size(view, at)
+        if at + size > len(data):
+            raise ValueError("truncated BGZF block")
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data[at:]) + z.flush())
-        at = len(data) - len(z.unused_data)
+        out.append(z.decompress(view[at : at + size] if size else view[at:]) + z.flush())
         if not z.eof:
             raise ValueError("truncated BGZF block")
+        at = at + size if size else len(data) - len(z.unused_data)
     return b"".join(out)
 
 
+def _block_size(data: memoryview, at: int) -> int:
+    """Bytes of the block at ``at``, from the subfield BC of its header; 0 without one."""
+    if len(data) < at + 18 or not data[at + 3] & 4:
+        return 0
+    p, end = at + 12, at + 12 + struct.unpack_from("<H", data, at + 10)[0]
+    while p + 4 <= end:
+        length = struct.unpack_from("<H", data, p + 2)[0]
+        if bytes(data[p : p + 2]) == b"BC" and length == 2:
+            return struct.unpack_from("<H", data, p + 4)[0] + 1
+        p += 4 + length
+    return 0
+
+
 #: Bytes of each fixed-size tag type.
 _TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
@@ -93,6 +110,8 @@ def records(data: bytes) -> Iterator[tuple]:
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """One row per aligned read. Files go through Spark's own file systems, one task a file: meant for per-cell files, which are small."""
 
+    ship(spark)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.bool_()]
         schema = pa.schema(list(zip([f.split()[0] for f in READ.split(", ")], kinds)))

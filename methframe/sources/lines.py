@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 import pyarrow.csv as csv
 from pyspark.sql import DataFrame
 
+from methframe.session import ship
+
 #: Fixed values of the line format: seven fields between tabs.
 FIELDS = ["chrom", "pos", "strand", "context", "mc", "cov", "flag"]
 MAX_POS = "9223372036854775807"
@@ -90,6 +92,7 @@ def parse_lines(df: DataFrame, line_id: str, text: str) -> DataFrame:
     nor failures. Carriage returns and line feeds elsewhere are part of a field. Lines are read whole, whatever their
     length. Repeated lines each come out. An empty table gives no rows.
     """
+    ship(df.sparkSession)
     kind = df.schema[line_id].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,8 @@ def compare(spark, query, sql: str, sf_dir: str) -> str:
     ours_types, theirs_types = {k: v.replace("_ntz", "") for k, v in df.dtypes}, {x[0]: TYPES.get(str(x[1]), str(x[1])) for x in cur.description}
     if ours_types != theirs_types:
         return f"types {sorted(set(ours_types.items()) ^ set(theirs_types.items()))}"
+    if not ours:
+        return "no rows, which proves nothing"
     if ours != theirs:
         return f"{sum(ours.values())} and {sum(theirs.values())} rows; only ours {list((ours - theirs).items())[:3]}; only theirs {list((theirs - ours).items())[:3]}"
     return ""

@@ -247,9 +247,84 @@ def test_cytosines(spark):
     assert got == plain
 
 
+@pytest.mark.parametrize("piece,width", [(7, 5), (50, 11), (1 << 20, 60)])
+def test_fasta_in_pieces(spark, tmp_path, piece, width):
+    """Pieces, lines and splits anywhere: the sites are those of the whole sequences."""
+    rng = random.Random(piece)
+    seqs = {f"c{i}": "".join(rng.choice("ACGTNacg") for _ in range(n)) for i, n in enumerate((1, 400, 0, 2, 333, 90))}
+    for k, names in enumerate((["c0", "c1", "c2"], ["c3", "c4", "c5"])):
+        lines = [x for c in names for x in [f">{c} about", *[seqs[c][i : i + width] for i in range(0, len(seqs[c]), width)]]]
+        (tmp_path / f"g{k}.fa").write_text("\n".join((["stray"] if k else []) + lines) + "\n")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        pieces = text.read_fasta(spark, str(tmp_path), piece)
+        assert pieces.agg(F.max(F.length("seq"))).first()[0] <= piece
+        got = sorted(map(tuple, text.cytosines(pieces).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert got == sorted(map(tuple, text.cytosines(spark.createDataFrame(list(seqs.items()), "chrom string, seq string")).collect()))
+
+
+def test_block_sizes():
+    blocks = [bgzf(bytes([i]) * 1000) for i in range(5)]
+    plain = gzip.compress(b"x" * 10)
+    assert bam.inflate(b"".join(blocks) + plain + plain) == b"".join(bytes([i]) * 1000 for i in range(5)) + b"x" * 20
+    with pytest.raises(ValueError):
+        bam.inflate(b"".join(blocks)[:-3])
+
+
+def bgzf(data: bytes) -> bytes:
+    z = zlib.compressobj(wbits=-15)
+    body = z.compress(data) + z.flush()
+    return struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def plain_regions(rows, dist):
+    out = []
+    for k in {r[0] for r in rows}:
+        known, before, mine = 0, None, None
+        for _, pos, p, d in sorted(r for r in rows if r[0] == k):
+            sign = (d > 0) - (d < 0)
+            if before is None or pos - before > dist or (sign and known and sign != known):
+                known = known if before is not None and pos - before <= dist else 0
+                mine = []
+                out.append((k, mine))
+            known, before = sign or known, pos
+            mine.append((pos, p, d))
+    return sorted((k, m[0][0] - 1, m[-1][0], len(m), min(x[1] for x in m), round(sum(x[2] for x in m) / len(m), 9)) for k, m in out)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0, 1, 5, 60, 700]))
+def test_regions_over_many_partitions(spark, seed, n):
+    rng = random.Random(seed)
+    rows = [(k, p, rng.random(), rng.choice([-0.5, 0.5, 0.0, 0.0, 0.25])) for k in ("a", "b", None) for p in rng.sample(range(1, 3 * n + 5), n)]
+    got = dmr.merge_sites(spark.createDataFrame(rows, "chrom string, pos bigint, p double, delta double"), 4).collect()
+    key = lambda r: (str(r[0]), *r[1:])
+    want = plain_regions([(str(k), *r) for k, *r in rows], 4)
+    assert sorted(key((r.chrom, r.start_pos, r.end_pos, r.n_dms, r.p_min, round(r.frac_delta_mean, 9))) for r in got) == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["x", "x", "y", None]), st.one_of(st.none(), st.integers(0, 9))), max_size=40), st.integers(1, 9))
+def test_numbers_within_groups(spark, rows, parts):
+    from methframe.operators.ranged import numbered
+
+    df = spark.createDataFrame(rows, "g string, o bigint")
+    got = sorted((str(r.g), r["rank"], -1 if r.o is None else r.o) for r in numbered(df, ["g"], ["o"], partitions=parts).collect())
+    order = sorted((str(g), -1 if o is None else o) for g, o in rows)
+    assert got == [(g, i - next(j for j, x in enumerate(order) if x[0] == g), o) for i, (g, o) in enumerate(order)]
+    assert sorted(r["rank"] for r in numbered(df, [], ["g", "o"], partitions=parts).collect()) == list(range(len(rows)))
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 first\nACGT\nCC\n>chr2\nGG\n")
-    assert {(r.chrom, r.seq) for r in text.read_fasta(spark, str(tmp_path / "g.fa")).collect()} == {("chr1", "ACGTCC"), ("chr2", "GG")}
+    got = {}
+    for r in text.read_fasta(spark, str(tmp_path / "g.fa")).orderBy("chrom", "start").collect():
+        assert r.start == len(got.get(r.chrom, ""))
+        got[r.chrom] = got.get(r.chrom, "") + r.seq
+    assert got == {"chr1": "ACGTCC", "chr2": "GG"}
     (tmp_path / "f.bed").write_text("track x\n#c\nchr1\t1\t5\tn\nchr1\t7\t9\nchr2\tx\t9\n")
     assert sorted((r.start_pos, r.end_pos, r.name) for r in text.read_bed(spark, str(tmp_path / "f.bed")).collect()) == [(1, 5, "n"), (7, 9, None)]
     (tmp_path / "s.fai").write_text("chr1\t99\t0\n")

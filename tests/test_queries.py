@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows of its SQL on the smallest tables; every other one runs."""
+"""Every query with SQL gives the rows of its SQL on the smallest tables, and some; every other one gives rows."""
 
 import pytest
 from compare import compare
@@ -13,8 +13,8 @@ def test_sql(spark, small, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_gives_rows(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
