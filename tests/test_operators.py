@@ -461,6 +461,37 @@ def test_cli(spark, tmp_path, capsys):
         cli.main(["nothing"], spark)
 
 
+def test_cli_of_callers(spark, tmp_path):
+    path, out, matrix = (str(tmp_path / x) for x in ("t", "out", "m"))
+    rows = [(c, "x", pos, 38 if (c < "c3") == (pos < 2000) else 2, 40) for c in ("c1", "c2", "c3", "c4") for pos in range(1000, 3000, 100)]
+    store.write(sites(spark, rows), path)
+
+    def told(*args):
+        cli.main([*args, "-o", out], spark)
+        return spark.read.parquet(out).collect()
+
+    calls = told("call-dmr", path, "--group-a", "c1,c2", "--max-dist", "500", "--permutations", "2000", "--p", "0.05")
+    assert sorted((r.start_pos, r.end_pos, r.state) for r in calls) == [(999, 1900, "hyper"), (1999, 2900, "hypo")]
+    assert told("call-dmr", path, "--group-a", "c1", "--group-b", "c3", "--max-dist", "500", "--p", "0.05") and told("call-dmr-ch", path, "--group-a", "c1,c2", "--bin", "500", "--min-dms", "1", "--p", "0.2")
+    assert {r.cell_id for r in told("call-one-vs-rest", path, "--min-class-size", "2")} <= {"c1", "c2", "c3", "c4"}
+    assert len(told("pivot-fraction", path, "--names", "c1,c3")) == 20 and "c1_pval" in told("pivot-fisher", path, "--names", "c1,c2")[0]
+    assert len(told("pivot-fisher", path)) == len(told("combp-input", path)) == 80
+    assert len(told("pseudo-reads", path, "--signal", "meth")) == sum(r[3] for r in rows)
+    assert {r.file for r in told("concat", path, path, "--key-added", "file")} == {"t"}
+    spark.createDataFrame([("x", 999, 1900, 0.9, 0.1, 7)], "chrom string, start_pos bigint, end_pos bigint, c1 double, c3 double, extra int").write.parquet(matrix)
+    spark.createDataFrame([("x", 999, 1900, 10, "c1", None, 0.01, 0.8, 0.9, 0.1), ("x", 5, 9, 1, "c1", None, 0.5, -0.8, 0.0, 0.1)], "chrom string, start_pos bigint, end_pos bigint, n_dms int, sname string, cell_class string, p_min double, frac_delta_mean double, rate_a double, rate_b double").write.parquet(str(tmp_path / "calls"))
+    assert [(r.hyper_sample, r.n_dms) for r in told("annot-dmr", str(tmp_path / "calls"), "--matrix", matrix, "--samples", "c1,c3")] == [("c1", 10)]
+    merged = {r.start_pos: r for r in told("merge-dmr", str(tmp_path / "calls"))}
+    assert merged[999].log2fc == pytest.approx(math.log2(9)) and merged[5].log2fc is None and merged[5].delta_rate == pytest.approx(-0.1)
+    (tmp_path / "in.tsv").write_text("x\t5\t300\t400\n#c\nx\t6\t1\t2\n")
+    cli.main(["import-table", str(tmp_path / "in.tsv"), "-o", out, "--columns", "chrom:c,pos:Q,mc:B,cov:H"], spark)
+    assert sorted((r.pos, r.mc, r["cov"]) for r in spark.read.parquet(out).collect()) == [(5, 255, 400), (6, 1, 2)]
+    with gzip.open(tmp_path / "s1.allc.tsv.gz", "wt") as f:
+        f.write("x\t5\t+\tCGA\t1\t2\t1\n")
+    spark.createDataFrame([("x", 5, "+", "CGA"), ("x", 9, "+", "CGT")], "chrom string, pos bigint, strand string, context string").write.parquet(str(tmp_path / "ref"))
+    assert sorted((r.cell_id, r.pos, r["cov"]) for r in told("import-allc", str(tmp_path / "s1.allc.tsv.gz"), "-r", str(tmp_path / "ref"))) == [("s1", 5, 2), ("s1", 9, 0)]
+
+
 def test_dmr_ch_has_the_callers_permutations(spark, small, monkeypatch):
     """10 hits of 10,000 permutations before a test stops early, as the reference has it."""
     from methframe.plans import reference
