@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,9 +27,9 @@ def align_cells(ref: DataFrame, sites: DataFrame, by: str = "cell_id", fill: int
     return ref.withColumn(by, F.explode(names)).join(sites.select(by, *KEYS, "mc", "cov"), [by, *KEYS], "left").fillna(fill, ["mc", "cov"])
 
 
-def union_tables(tables: dict[str, DataFrame], key_added: str = "cell_id") -> DataFrame:
-    """All rows of all tables, each with the name of its table in ``key_added``; columns go by name, and must be the same."""
-    return reduce(DataFrame.unionByName, [df.withColumn(key_added, F.lit(name)) for name, df in tables.items()])
+def union_tables(tables: dict[str, DataFrame], key_added: str = "cell_id", key_of: Callable[[str], str] | None = None) -> DataFrame:
+    """All rows of all tables, each with the name of its table, or what ``key_of`` makes of it, in ``key_added``; columns go by name, and must be the same."""
+    return reduce(DataFrame.unionByName, [df.withColumn(key_added, F.lit(key_of(name) if key_of else name)) for name, df in tables.items()])
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methframe.functions.numbers import clamp, context_is
 from methframe.operators.region import sites_in_regions
 
 
-def context_index(ref: DataFrame, pattern: str) -> DataFrame:
-    """chrom, site_id of the sites that match a context pattern."""
-    return ref.where(context_is(F.col("context"), F.col("strand"), pattern)).select("chrom", "site_id")
+def context_index(ref: DataFrame, pattern: str | Callable[[Column, Column], Column]) -> DataFrame:
+    """chrom, site_id of the sites that match a context pattern, or a condition on context and strand."""
+    match = pattern if callable(pattern) else lambda context, strand: context_is(context, strand, pattern)
+    return ref.where(match(F.col("context"), F.col("strand"))).select("chrom", "site_id")
 
 
 def region_index(ref: DataFrame, regions: DataFrame) -> DataFrame:

@@ -31,13 +31,26 @@ def changes(columns: list[pa.Array]) -> np.ndarray:
     return out
 
 
+#: Stored bytes that a range should come from, and ranges at most: the driver holds a sample of 100 keys a range.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 50_000
+
+
+def ranges_of(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, and more if the stored tables behind ``df`` are large."""
+    leaves, stored = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            stored += int(leaves.apply(i).stats().sizeInBytes().toString())
+    return max(partitions_of(df.sparkSession), min(-(-stored // RANGE_BYTES), MOST_RANGES))
+
+
 def ranged(df: DataFrame, keys: list[str], tiebreak: str | None = None, partitions: int | None = None, sort: bool = True) -> DataFrame:
     """``df`` in range partitions on keys and tiebreak (by default the row's number in the input).
 
     The number of partitions is explicit, so adaptive execution neither joins nor splits them and the partition id
     follows the order.
     """
-    n = partitions or partitions_of(df.sparkSession)
+    n = partitions or ranges_of(df)
     if tiebreak is None:
         tiebreak = "_row"
         df = df.withColumn(tiebreak, F.monotonically_increasing_id())
@@ -74,7 +87,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "ran
             last, seen = [k[b.num_rows - 1].as_py() for k in keys], int(local[-1]) + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(local)], [*b.schema.names, "_part", "_local"])
 
-    rows = df.repartitionByRange(partitions or partitions_of(df.sparkSession), *group, *order).sortWithinPartitions(*group, *order)
+    rows = df.repartitionByRange(partitions or ranges_of(df), *group, *order).sortWithinPartitions(*group, *order)
     rows = checkpointed(rows.mapInArrow(number, f"{kinds}, _part int, _local bigint"))
     ends = rows.groupBy(*group, "_part").agg((F.max("_local") + 1).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

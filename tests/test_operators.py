@@ -461,6 +461,23 @@ def test_cli(spark, tmp_path, capsys):
         cli.main(["nothing"], spark)
 
 
+def test_callables(spark):
+    ref = spark.createDataFrame([("x", 1, "CGA", "+"), ("x", 2, "CAT", "-")], "chrom string, site_id bigint, context string, strand string")
+    assert [r.site_id for r in index.context_index(ref, lambda context, strand: (strand == "-") & context.startswith("CA")).collect()] == [2]
+    assert {r.cell_id for r in align.union_tables({"a.cz": ref, "b.cz": ref}, key_of=lambda name: name.split(".")[0]).collect()} == {"a", "b"}
+
+
+def test_large_tables_have_more_ranges(spark, small, monkeypatch):
+    from methframe.operators import ranged
+
+    df = spark.read.parquet(f"{small}/cell_sites.parquet").where("chrom is not null").select("chrom", "pos", "rec_id")
+    assert ranged.ranges_of(df) == 4
+    monkeypatch.setattr(ranged, "RANGE_BYTES", 1000)
+    assert ranged.ranges_of(df) > 20 and ranged.ranged(df, ["chrom", "pos"], "rec_id").rdd.getNumPartitions() > 20
+    monkeypatch.setattr(ranged, "MOST_RANGES", 7)
+    assert ranged.ranges_of(df) == 7 and ranged.ranges_of(spark.range(10)) == 4
+
+
 def test_cli_of_callers(spark, tmp_path):
     path, out, matrix = (str(tmp_path / x) for x in ("t", "out", "m"))
     rows = [(c, "x", pos, 38 if (c < "c3") == (pos < 2000) else 2, 40) for c in ("c1", "c2", "c3", "c4") for pos in range(1000, 3000, 100)]
