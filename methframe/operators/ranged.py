@@ -40,7 +40,7 @@ def ranges_of(df: DataFrame) -> int:
     leaves, stored = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for i in range(leaves.size()):
         if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
-            stored += int(leaves.apply(i).stats().sizeInBytes().toString())
+            stored += int(leaves.apply(i).stats().sizeInBytes())
     return max(partitions_of(df.sparkSession), min(-(-stored // RANGE_BYTES), MOST_RANGES))
 
 
