@@ -32,8 +32,9 @@ def exponential_key(weight: Column, *identity: str, seed: int = SEED) -> Column:
     return -F.log(u) / weight
 
 
-def _running(rows: DataFrame) -> DataFrame:
+def _running(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``rows`` with ``upto``: the tokens of the source up to and with the row, in the order of the keys; no task per source."""
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, carry = part_id(), None, 0
@@ -49,13 +50,13 @@ def _running(rows: DataFrame) -> DataFrame:
             if code[0] == last:
                 local[: heads[1] if len(heads) > 1 else len(code)] += carry
             last, carry = code[-1], int(local[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([part] * len(code), pa.int32()), pa.array(local, pa.int64())], ["target_no", "row_id", "n_tokens", "part", "local"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array([part] * len(code), pa.int32()), pa.array(local, pa.int64()), *b.columns[4:]], ["target_no", "n_tokens", "part", "local", *keep])
 
-    rows = ranged(rows.select("target_no", "key", "row_id", "n_tokens"), ["target_no", "key"], "row_id")
-    rows = checkpointed(rows.mapInArrow(add, "target_no int, row_id bigint, n_tokens bigint, part int, local bigint"))
+    rows = ranged(rows.select("target_no", "key", "row_id", "n_tokens", *keep), ["target_no", "key"], "row_id")
+    rows = checkpointed(rows.mapInArrow(add, f"target_no int, n_tokens bigint, part int, local bigint{kinds}"))
     ends = rows.groupBy("target_no", "part").agg(F.max("local").alias("n"))  # at most partitions + sources rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("target_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(ends.select("target_no", "part", before.alias("base"))), ["target_no", "part"]).select("target_no", "row_id", "n_tokens", (F.col("local") + F.col("base")).alias("upto"))
+    return rows.join(F.broadcast(ends.select("target_no", "part", before.alias("base"))), ["target_no", "part"]).select("target_no", "n_tokens", (F.col("local") + F.col("base")).alias("upto"), *keep)
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +88,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, k
         epochs = min(budget // have, r.most) if have else 0
         plan.append((i, r.source, float(r.share), r.most, epochs, budget - epochs * have if epochs < r.most else 0))
     recipe = F.broadcast(spark.createDataFrame(plan, "target_no int, source string, target_share double, max_repeats int, epochs int, rest bigint"))
-    running = _running(rows).join(recipe, "target_no")
+    running = _running(rows, keep).join(recipe, "target_no")
     part = (F.col("rest") > 0) & (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")) & (F.col("n_tokens") > 0)
-    chosen = running.select("row_id", "source", "n_tokens", (F.col("epochs") + F.when(part, 1).otherwise(0)).cast("int").alias("repeats"))
-    mixture = chosen.where("repeats > 0").join(sizes.select("row_id", *keep), "row_id").select(*keep, "source", "n_tokens", "repeats")
+    chosen = running.select(*keep, "source", "n_tokens", (F.col("epochs") + F.when(part, 1).otherwise(0)).cast("int").alias("repeats"))
+    mixture = chosen.where("repeats > 0")
     used = F.col("n_tokens") * F.col("repeats")
     reached = chosen.groupBy("source").agg(F.sum(used).alias("used_tokens"), F.sum(F.when(F.col("repeats") > 0, 1).otherwise(0)).alias("n_documents"), F.max("repeats").alias("most_repeats"))
     shares = recipe.join(reached, "source", "left").select(

@@ -89,7 +89,7 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     ``sizes`` has row_id (unique), the column ``key`` and n_tokens. Only a document larger than ``capacity`` is split: into full
     containers of its own (``whole-…``) and one remainder, which is packed like any other. No container holds more than ``capacity``.
     Documents without tokens take no room and lie in the first container. Repeated keys are documents of their own. An empty
-    table gives no rows.
+    table gives no rows. A piece that the plan doesn't place is an error.
     """
     n, cap = F.col("n_tokens"), F.lit(capacity)
     sizes = sizes.select("row_id", F.col(key).alias("_key"), F.coalesce(n, F.lit(0)).alias("n_tokens"))
@@ -112,7 +112,7 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     pieces = sizes.join(dealt, "row_id", "left").withColumn("n_pieces", (full + rest).cast("int"))
     pieces = pieces.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
     start = (F.col("piece_no") - 1).cast("bigint") * cap
-    container = F.when(F.col("piece_no") <= full, F.concat_ws("-", F.lit("whole"), F.col("row_id").cast("string"), F.col("piece_no").cast("string"))).otherwise(F.coalesce("_container", F.lit("mixed-0")))
+    container = F.when(F.col("piece_no") <= full, F.concat_ws("-", F.lit("whole"), F.col("row_id").cast("string"), F.col("piece_no").cast("string"))).when(F.col("n_tokens") == 0, "mixed-0").otherwise(F.coalesce("_container", F.raise_error(F.lit("a piece has no container")).cast("string")))
     return pieces.select(F.col("_key").alias(key), "piece_no", "n_pieces", start.alias("start_token"), F.least(F.col("n_tokens") - start, cap).alias("n_tokens"), container.alias("container_id"))
 
 

@@ -320,11 +320,27 @@ def test_subjects(spark):
     assert subjects.document_subjects(df, lab, names.limit(0)).count() == 0
 
 
-def test_queries_run(spark, small):
+def test_queries_on_whole_tables(spark):
+    """What must hold of any result: nothing lost, no container over its capacity, no document used too often, shares near their targets."""
     from methframe.llm.queries import QUERIES
 
-    for name, query in QUERIES.items():
-        assert query(spark, small).count() >= 0, name
+    d = "/root/testdata/sf0.01"
+    pieces, sizes = QUERIES["p7_packing"](spark, d), QUERIES["p7_fill"](spark, d).collect()
+    documents = spark.read.parquet(f"{d}/documents.parquet")
+    assert pieces.select("doc_id").distinct().count() == documents.count()
+    assert pieces.groupBy("container_id").agg({"n_tokens": "sum"}).toDF("c", "n").where(f"n > {packing.CAPACITY}").count() == 0
+    assert sum(r.n_pieces for r in sizes) == pieces.count() and all(r.unused_share < 0.01 for r in sizes)
+    targets = {mixing_name(r.source): r for r in spark.read.parquet(f"{d}/mix_targets.parquet").collect()}
+    used = QUERIES["p8_mixture"](spark, d).collect()
+    assert used and all(r.repeats <= targets[r.source].max_repeats for r in used)
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in QUERIES["p8_shares"](spark, d).collect())
+    found = QUERIES["p9_found"](spark, d).collect()
+    assert len(found) > 900 and len(found) == len({tuple(r) for r in found})
+    assert sum(r.n_documents for r in QUERIES["p9_composition"](spark, d).collect()) == len(found)
+
+
+def mixing_name(source: str) -> str:
+    return source.strip().lower()
 
 
 def test_held_out_labels(spark):
