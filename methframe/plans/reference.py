@@ -137,9 +137,9 @@ def subset_by_regions(spark, d):
 # joins and unions
 
 
-@query("select r.chrom, r.pos, r.strand, r.context, r.site_id, coalesce(b.mc, 0) as mc, coalesce(b.cov, 0) as cov from ref r left join bulk b on b.chrom = r.chrom and b.pos = r.pos")
+@query("select r.chrom, r.pos, r.strand, r.context, coalesce(b.mc, 0) as mc, coalesce(b.cov, 0) as cov from ref r left join bulk b on b.chrom = r.chrom and b.pos = r.pos")
 def align_left_fill(spark, d):
-    return align.align(v.reference(spark, d, ids=True), _bulk(spark, d))
+    return align.align(v.reference(spark, d), _bulk(spark, d))
 
 
 @query("select c.cell_id, r.chrom, r.pos, r.strand, r.context, coalesce(s.mc, 0) as mc, coalesce(s.cov, 0) as cov from (select distinct cell_id from sites where chrom = 'chr19') c cross join ref r left join sites s on s.cell_id = c.cell_id and s.chrom = r.chrom and s.pos = r.pos where r.chrom = 'chr19'")
