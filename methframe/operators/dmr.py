@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methframe.functions.stats import fisher_two_sided
+from methframe.functions.rms import rms_p
+from methframe.functions.stats import fisher_p, fisher_two_sided
 from methframe.operators.intervals import number_stretches
 from methframe.operators.merge import bin_sums
-from methframe.operators.ranged import changes, part_id, ranged
+from methframe.operators.ranged import changes, part_id, ranged, ranges_of
 from methframe.session import checkpointed, shipped
 
 #: The defaults of both callers.
@@ -28,6 +31,19 @@ def rms_statistic(tables: np.ndarray) -> np.ndarray:
     return np.sqrt(((tables - expected) ** 2).sum((-2, -1)) / (2 * tables.shape[-2]))
 
 
+def counts_table(mc: np.ndarray, cov: np.ndarray, max_row: int, max_total: int) -> np.ndarray:
+    """The (cells, 2) table of a site, with rows scaled down to ``max_row`` and the whole to ``max_total``."""
+    table = np.stack([mc, np.maximum(cov - mc, 0)], 1).astype(np.int64)
+    total = table.sum(1)
+    big = total > max_row
+    if big.any():
+        table[big, 0] = (table[big, 0] * max_row / total[big] + 0.5).astype(np.int64)
+        table[big, 1] = max_row - table[big, 0]
+    if table.sum() > max_total:
+        table = (table * (max_total / table.sum()) + 0.5).astype(np.int64)
+    return table
+
+
 def rms_test(mc: np.ndarray, cov: np.ndarray, in_a: np.ndarray, seed: int, permutations: int, min_p: float, max_row: int, max_total: int) -> tuple[float, float]:
     """p and delta (mean fraction of group A less that of B) of one site; cells without coverage don't count."""
     use = cov > 0
@@ -37,14 +53,7 @@ def rms_test(mc: np.ndarray, cov: np.ndarray, in_a: np.ndarray, seed: int, permu
         return 1.0, 0.0
     rate = mc / cov
     delta = float(rate[in_a].mean() - rate[~in_a].mean())
-    table = np.stack([mc, np.maximum(cov - mc, 0)], 1).astype(np.int64)
-    total = table.sum(1)
-    big = total > max_row
-    if big.any():
-        table[big, 0] = (table[big, 0] * max_row / total[big] + 0.5).astype(np.int64)
-        table[big, 1] = max_row - table[big, 0]
-    if table.sum() > max_total:
-        table = (table * (max_total / table.sum()) + 0.5).astype(np.int64)
+    table = counts_table(mc, cov, max_row, max_total)
     real, m = rms_statistic(table), int(table.sum())
     chance = (table.sum(1, keepdims=True) * table.sum(0, keepdims=True)).ravel() / float(m) ** 2
     rng, hits, done, limit, size = np.random.default_rng(seed), 1, 0, permutations * min_p, 64
@@ -230,25 +239,86 @@ def one_vs_rest_sites(sites: DataFrame, by: str) -> DataFrame:
     return t.select("chrom", "pos", by, p.alias("p"), (F.col("a") / (F.col("a") + F.col("b")) - F.col("c") / (F.col("c") + F.col("d"))).alias("delta"))
 
 
-def _against_rest(samples: DataFrame, by: str, within: list[str], how: dict) -> DataFrame:
-    """One row per sample and site that both groups cover: within, by, chrom, pos, n_samples (of the class), rate_a, rate_b and the list ``cells``, as ``eligible`` has them."""
-    each = F.array_sort(F.collect_list(F.struct(F.col(by).alias("s"), "mc", "cov")))
-    one = samples.groupBy(*within, "n_samples", "chrom", "pos").agg(each.alias("all")).withColumn("own", F.explode("all.s"))
-    cells = F.transform("all", lambda x: F.struct(x["s"].eqNullSafe(F.col("own")).alias("in_a"), x["mc"].alias("mc"), x["cov"].alias("cov")))
-    one = one.select(*within, F.col("own").alias(by), "n_samples", "chrom", "pos", cells.alias("cells"))
-    n = lambda a: F.size(F.filter("cells", lambda x: (x["in_a"] == a) & (x["cov"] >= how["min_cov"])))
-    one = one.where((n(True) >= how["min_samples"]) & (n(False) >= how["min_samples"]))
-    covered = lambda a: F.filter("cells", lambda x: (x["in_a"] == a) & (x["cov"] > 0))
-    rate = lambda a: F.aggregate(covered(a), F.lit(0.0), lambda s, x: s + x["mc"] / x["cov"]) / F.nullif(F.size(covered(a)), F.lit(0))
-    return one.withColumn("rate_a", rate(True)).withColumn("rate_b", rate(False))
+def _away(s: pd.DataFrame, sites: int, how: dict, bins: bool) -> pd.DataFrame:
+    """``s`` (site, mc, cov: a sample's counts at a site) with rate_a and rate_b, of the sample and of the others; only rows that both groups cover and whose rates differ enough.
+
+    The rates of the others are a mean of their fractions, or for ``bins`` their counts' fraction, and come from the site's sums.
+    """
+    of = s["site"].to_numpy()
+    mc, cov = s["mc"].to_numpy(), s["cov"].to_numpy()
+    covered, own = cov > 0, cov >= how["min_cov"]
+    total = lambda x: np.bincount(of, x, sites)[of]
+    n = total(covered)
+    keep = covered & (n > 1) & (own >= how["min_samples"]) & (total(own) - own >= how["min_samples"])
+    if bins:
+        m, c = total(mc) - mc, total(cov) - cov
+        a, b = np.where(covered, mc / np.maximum(cov, 1), 0.0), np.where(c > 0, m / np.maximum(c, 1), 0.0)
+        fold = np.where((a > 0) & (b > 0), np.log2(np.where(a > 0, a, 1.0) / np.where(b > 0, b, 1.0)), 0.0)
+        keep &= (np.abs(a - b) >= how["delta"]) & (np.abs(fold) >= how["log2fc"])
+    else:
+        a = np.where(covered, mc / np.maximum(cov, 1), 0.0)
+        b = (total(a) - a) / np.maximum(n - covered, 1)
+        for i in np.flatnonzero(keep & (np.abs(np.abs(a - b) - how["delta"]) < 1e-9)):  # at the cutoff, the others' own sum decides
+            others = a[slice(*np.searchsorted(of, [of[i], of[i] + 1]))]
+            b[i] = math.fsum([*others, -a[i]]) / (n[i] - 1)
+        keep &= np.abs(a - b) >= how["delta"]
+    return s.assign(rate_a=a, rate_b=b)[keep]
 
 
-def vs_rest_tests(rows: DataFrame, by: str, group: list[str] | None = None, size: DataFrame | None = None, **options: float) -> DataFrame:
+def _against_rest(samples: DataFrame, by: str, within: list[str], how: dict, bins: bool = False, called: bool = False) -> DataFrame:
+    """Of each sample and site that both groups cover, with enough of a difference: within, by, chrom, pos, n_samples (of the class), rate_a, rate_b and p; only p under how["p"] if ``called``, else p is null.
+
+    The statistic and the draws of the permutation test know the samples of a site, not which of them is set against the others: one p of a
+    site is the p of each of its samples. Where a class has two samples, ``called`` takes Fisher's test for sites.
+    """
+    keys = [*within, "chrom", "pos"]
+    shipped()
+    kept = samples.where("mc is not null and cov is not null").select(*within, "n_samples", "chrom", "pos", F.struct(F.col(by).alias("s"), F.col("mc").cast("bigint").alias("mc"), F.col("cov").cast("bigint").alias("cov")).alias("one"))
+    # a number of partitions that adaptive execution keeps, since the work isn't in the bytes
+    lists = kept.repartition(ranges_of(kept), "chrom", "pos").groupBy(*keys, "n_samples").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    lists = lists.withColumn("seed", F.xxhash64(F.lit(7), *keys))
+    kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in [*keys, "n_samples", by])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("all")
+            each = lists.flatten()
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            s = pd.DataFrame({"site": np.repeat(np.arange(len(size)), size), **{c: each.field(c).to_numpy(zero_copy_only=False) for c in ("mc", "cov")}})
+            away = _away(s, len(size), how, bins)
+            if called:
+                away = away.assign(p=_site_p(s, away["site"].unique(), batch.column("n_samples").to_numpy(zero_copy_only=False), batch.column("seed").to_numpy(), how, bins)[away["site"].to_numpy()])
+                away = away[away["p"] < how["p"]]
+            at = pa.array(away["site"].to_numpy())
+            columns = [batch.column(c).take(at) for c in [*keys, "n_samples"]] + [each.field("s").take(pa.array(away.index.to_numpy())), pa.array(away["rate_a"].to_numpy()), pa.array(away["rate_b"].to_numpy())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(away["p"].to_numpy()) if called else pa.nulls(len(away), pa.float64())], [*keys, "n_samples", by, "rate_a", "rate_b", "p"])
+
+    return lists.mapInArrow(test, f"{kinds}, rate_a double, rate_b double, p double")
+
+
+def _site_p(s: pd.DataFrame, sites: np.ndarray, n_samples: np.ndarray, seeds: np.ndarray, how: dict, bins: bool) -> np.ndarray:
+    """By site the p of its samples (site, mc, cov, in the order of the sites), for the numbers in ``sites``; 1 elsewhere."""
+    out = np.ones(len(seeds))
+    of, mc, cov = (s[c].to_numpy() for c in ("site", "mc", "cov"))
+    start, end = np.searchsorted(of, sites), np.searchsorted(of, sites, "right")
+    pair = (n_samples[sites] == 2) & (not bins)
+    if pair.any():
+        i = start[pair]
+        out[sites[pair]] = fisher_p(mc[i], cov[i] - mc[i], mc[i + 1], cov[i + 1] - mc[i + 1])
+    rest = np.flatnonzero(~pair)
+    tables = [counts_table(mc[a:b][k], cov[a:b][k], how["max_row"], how["max_total"]) for a, b in zip(start[rest], end[rest]) for k in [np.flatnonzero(cov[a:b] > 0)]]
+    # rows in one order: neither a list's nor the samples' names matter
+    tables = [t[np.lexsort((t[:, 1], t[:, 0]))] for t in tables]
+    out[sites[rest]] = rms_p(tables, [int(k) & 0x7FFFFFFF for k in seeds[sites[rest]]], how["permutations"], how["min_p"])
+    return out
+
+
+def vs_rest_tests(rows: DataFrame, by: str, group: list[str] | None = None, size: DataFrame | None = None, called: bool = False, **options: float) -> DataFrame:
     """What is tested of each sample against the separate others: rows as ``_against_rest`` has them, where the groups' mean rates differ enough."""
     how, group = CG | options, group or []
     samples = rows.groupBy(*group, by, "chrom", "pos").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
-    samples = samples.withColumn("n_samples", F.lit(None).cast("bigint")) if size is None else samples.join(size, group) if group else samples.crossJoin(size)  # one row
-    return prefilter(_against_rest(samples, by, group, how), how["delta"])
+    samples = samples.withColumn("n_samples", F.lit(None).cast("bigint")) if size is None else samples.join(F.broadcast(size), group) if group else samples.crossJoin(size)  # one row
+    return _against_rest(samples, by, group, how, called=called)
 
 
 def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, method: str = "cg", min_class_size: int = 2, **options: float) -> DataFrame:
@@ -265,15 +335,12 @@ def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, m
     rows = sites.where(F.col(within).isNotNull()) if within else sites
     name = F.to_json(F.struct(F.col(by).alias("s")))  # a null sample counts
     size = rows.groupBy(*group).agg(F.countDistinct(name).alias("n_samples")).where(F.col("n_samples") >= max(2, min_class_size if within else 2))
-    sized = lambda df: df.join(size, group) if group else df.crossJoin(size)
+    sized = lambda df: df.join(F.broadcast(size), group) if group else df.crossJoin(size)
     keys = [*group, by, "chrom", "pos"]
     if method == "cg":
-        tests = vs_rest_tests(rows, by, group, size, **how)
-        alone = lambda a, c: F.filter("cells", lambda x: x["in_a"] == a)[0][c]
-        exact = fisher_two_sided(alone(True, "mc"), alone(True, "cov") - alone(True, "mc"), alone(False, "mc"), alone(False, "cov") - alone(False, "mc"))
-        pairs = tests.where("n_samples = 2 and rate_a is not null and rate_b is not null").select(*keys, exact.alias("p"), (F.col("rate_a") - F.col("rate_b")).alias("delta"))
-        tested = permutation_test(tests.where("n_samples > 2"), keys, how).select(*keys, "p", "delta").unionByName(pairs)
-        return merge_sites(tested.where((F.col("p") < how["p"]) & (F.abs("delta") > how["delta"])), how["max_dist"], how["min_dms"], [*group, by])
+        # written once: the ranges of the regions are found by a pass of their own over it
+        tested = checkpointed(vs_rest_tests(rows, by, group, size, True, **how).withColumn("delta", F.col("rate_a") - F.col("rate_b")).where(F.abs("delta") > how["delta"]))
+        return merge_sites(tested, how["max_dist"], how["min_dms"], [*group, by])
     start = F.expr(f"(pos - 1) div {how['bin']} * {how['bin']} + 1")
     bins = rows.groupBy(*group, by, "chrom", start.alias("pos")).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
     rates = bins.groupBy(*group, by).agg(F.when(F.sum("cov") > 0, F.sum("mc") / F.sum("cov")).otherwise(0.0).alias("rate"))
@@ -282,13 +349,7 @@ def call_dmr_one_vs_rest(sites: DataFrame, by: str, within: str | None = None, m
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*group, by]]
     scale = F.when(F.col("rate") > 0, F.col("target") / F.col("rate")).otherwise(1.0)
     scaled = bins.join(F.broadcast(rates), same).withColumn("mc", F.least(F.rint(F.col("mc") * scale).cast("bigint"), F.col("cov"))).select(*keys, "mc", "cov")
-    tests = _against_rest(sized(scaled), by, group, how)
-    of = lambda a, c: F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.when(x["in_a"] == a, x[c]).otherwise(0))
-    weighed = lambda a: F.when(of(a, "cov") > 0, of(a, "mc") / of(a, "cov")).otherwise(0.0)
-    tests = prefilter(tests.withColumn("rate_a", weighed(True)).withColumn("rate_b", weighed(False)), how["delta"])
-    fold = F.when((F.col("rate_a") > 0) & (F.col("rate_b") > 0), F.log2(F.col("rate_a") / F.col("rate_b"))).otherwise(0.0)
-    tests = tests.where(F.abs(fold) >= how["log2fc"])
-    called = permutation_test(tests, keys, how).where(F.col("p") < how["p"]).withColumn("delta", F.col("rate_a") - F.col("rate_b"))
+    called = checkpointed(_against_rest(sized(scaled), by, group, how, True, True).withColumn("delta", F.col("rate_a") - F.col("rate_b")))
     return merge_sites(called, max(how["max_dist"], how["bin"]), how["min_dms"], [*group, by]).withColumn("end_pos", F.col("end_pos") + how["bin"] - 1)
 
 

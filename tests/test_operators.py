@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from methframe import cli
 from methframe.functions import numbers, stats
+from methframe.functions.rms import rms_p
 from methframe.operators import align, dmr, features, index, intervals, merge, pivot, region
 from methframe.sources import bam, store, text
 from methframe.streaming import live
@@ -540,3 +541,38 @@ def test_one_vs_rest_keeps_the_samples_apart(spark):
         if method == "cg":
             assert "s0" in {r[0] for r in expected} and "s0" not in {r[0] for r in shape(dmr.call_one_vs_rest(known, "sname", p=0.05), "sname")}
             assert [r[1] for r in classed if r[0] == "two"] == ["s8", "s9"]
+
+
+def test_many_tables_have_the_p_of_single_draws():
+    """The chances of a draw are those of the multinomial table, whatever its total; a p knows its own table and seed only."""
+    rng = np.random.default_rng(5)
+    tables, n = [], 20_000
+    for cells, cov in ((2, 3), (7, 9), (12, 40), (60, 8), (40, 90)):
+        c = rng.integers(1, 2 * cov, cells)
+        c[0] = cov
+        mc = rng.binomial(c, rng.uniform(0.3, 0.6, cells))
+        tables.append(np.stack([mc, c - mc], 1))
+    tables.append(np.array([[0, 4], [0, 0], [0, 9]]))
+    got = rms_p(tables, list(range(6)), n, 2.0)
+    for t, p in zip(tables, got):
+        m = t.sum()
+        chance = (t.sum(1, keepdims=True) * t.sum(0, keepdims=True)).ravel() / m**2
+        expected = np.mean(dmr.rms_statistic(rng.multinomial(m, chance / chance.sum(), n).reshape(n, -1, 2)) >= dmr.rms_statistic(t) - 1e-12)
+        assert abs(p - expected) < 5 * (2 * expected * (1 - expected) / n) ** 0.5 + 2 / n
+    assert [rms_p([t], [i], n, 2.0)[0] for i, t in enumerate(tables)] == list(got)
+    early = rms_p(tables, list(range(6)), 3000, 0.01)  # over 30 hits: no more draws
+    assert all(round(31 / p) == pytest.approx(31 / p) for p in early if p > 31 / 3000) and early[5] == pytest.approx(31 / 31)
+    assert rms_p([np.array([[1, 2]]), np.zeros((3, 2), int)], [1, 2], 100, 0.1).tolist() == [1, 1]
+
+
+def own_p(spark, within, method):
+    """Samples that differ alike from the others, at one site each of two chromosomes; the p by region."""
+    rows = [(f"s{s}", "k", c, 100, 8 if s % 2 else 3, 12) for s in range(10) for c in "xy"]
+    df = spark.createDataFrame(rows, "sname string, cell_class string, chrom string, pos bigint, mc bigint, cov bigint")
+    how = {"p": 0.5, "log2fc": 0.1} | ({"min_samples": 1, "min_dms": 1} if method == "ch" else {})
+    return sorted((r.chrom, r.sname, r.p_min) for r in dmr.call_dmr_one_vs_rest(df, "sname", within, method, **how).collect())
+
+
+def test_a_site_is_tested_once_for_all_its_samples(spark):
+    got = own_p(spark, None, "cg")
+    assert len(got) == 20 and [len({p for c, _, p in got if c == x}) for x in "xy"] == [1, 1]
