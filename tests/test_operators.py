@@ -566,8 +566,8 @@ def test_many_tables_have_the_p_of_single_draws():
 
 
 def own_p(spark, within, method):
-    """Samples that differ alike from the others, at one site each of two chromosomes; the p by region."""
-    rows = [(f"s{s}", "k", c, 100, 8 if s % 2 else 3, 12) for s in range(10) for c in "xy"]
+    """Samples that differ alike from the others, at one site each of two chromosomes, with one overall rate; the p by region."""
+    rows = [(f"s{s}", "k", c, 100, 8 if s % 2 == (c == "x") else 3, 12) for s in range(10) for c in "xy"]
     df = spark.createDataFrame(rows, "sname string, cell_class string, chrom string, pos bigint, mc bigint, cov bigint")
     how = {"p": 0.5, "log2fc": 0.1} | ({"min_samples": 1, "min_dms": 1} if method == "ch" else {})
     return sorted((r.chrom, r.sname, r.p_min) for r in dmr.call_dmr_one_vs_rest(df, "sname", within, method, **how).collect())
@@ -576,3 +576,8 @@ def own_p(spark, within, method):
 def test_a_site_is_tested_once_for_all_its_samples(spark):
     got = own_p(spark, None, "cg")
     assert len(got) == 20 and [len({p for c, _, p in got if c == x}) for x in "xy"] == [1, 1]
+
+
+def test_a_bin_is_tested_once_for_all_its_samples(spark):
+    got = own_p(spark, None, "ch")
+    assert len(got) == 20 and [len({p for c, _, p in got if c == x}) for x in "xy"] == [1, 1]
