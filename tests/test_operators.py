@@ -581,3 +581,8 @@ def test_a_site_is_tested_once_for_all_its_samples(spark):
 def test_a_bin_is_tested_once_for_all_its_samples(spark):
     got = own_p(spark, None, "ch")
     assert len(got) == 20 and [len({p for c, _, p in got if c == x}) for x in "xy"] == [1, 1]
+
+
+def test_a_site_is_tested_once_for_the_samples_of_a_class(spark):
+    got = own_p(spark, "cell_class", "cg")
+    assert len(got) == 20 and [len({p for c, _, p in got if c == x}) for x in "xy"] == [1, 1]
